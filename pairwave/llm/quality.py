@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pairwave.llm.common import small, words_of
 
 BUCKETS = 1 << 16
-SMOOTHING = 1.0
+#: The uniform part, as a share; and how often each bucket counts as seen beyond that, which matters for small corpora only.
+SMOOTHING, SEEN = 1.0, 8.0
 THRESHOLD = -0.04
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -95,7 +96,7 @@ def ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHI
     """One row, one column: the log-ratio of every bucket, as an array in bucket order."""
     every = counts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
-    share = lambda of, all_of: F.log(of / all_of + smoothing / buckets)
+    share = lambda of, all_of: F.log(of / all_of + smoothing / buckets + SEEN / F.col("all_target"))
     rows = F.sort_array(F.collect_list(F.struct("bucket", "raw", "target")))
     one = full.agg(rows.alias("rows"), F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
     return one.select(F.transform("rows", lambda x: F.when(F.col("all_target") == 0, F.lit(0.0)).otherwise(share(x["target"], F.col("all_target")) - share(x["raw"], F.col("all_raw")))).alias("ratios"))
@@ -122,5 +123,5 @@ def brute_score(grams_of_docs: list[list[int]], trusted: list[bool], buckets: in
             raw[g] += 1
             target[g] += t
     r, t = sum(raw), sum(target)
-    ratio = [0.0 if not t else math.log(target[i] / t + smoothing / buckets) - math.log(raw[i] / r + smoothing / buckets) for i in range(buckets)]
+    ratio = [0.0 if not t else math.log(target[i] / t + smoothing / buckets + SEEN / t) - math.log(raw[i] / r + smoothing / buckets + SEEN / t) for i in range(buckets)]
     return [sum(ratio[g] for g in gs) / len(gs) if gs else None for gs in grams_of_docs]
