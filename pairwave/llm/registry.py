@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwave.llm import quality, simhash
+from pairwave.llm import quality, sentencepiece, simhash, token_count, token_output
 from pairwave.llm.common import read
 
 
+def tokenizer(name: str) -> str:
+    """Where the public tokenizer files of this machine are."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -18,9 +25,24 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.counted(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encoded(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False)
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_token_output": op10_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {}
