@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwave.llm import quality, sentencepiece, simhash, token_count, token_output
+from pairwave.llm import html_extract, quality, sentencepiece, simhash, token_count, token_output
 from pairwave.llm.common import read
 
 
@@ -25,6 +25,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(read(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.counted(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -39,6 +43,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_html": op2_html,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
     "op9_sentencepiece": op9_sentencepiece,
