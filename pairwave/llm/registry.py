@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwave.llm import html_extract, quality, sentencepiece, simhash, token_count, token_output
+from pairwave.llm import html_extract, quality, secrets, sentencepiece, simhash, token_count, token_output, warc
 from pairwave.llm.common import read
 
 
@@ -29,10 +29,18 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(read(spark, sf_dir, "pages"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.counted(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.reported(read(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encoded(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False)
 
@@ -44,10 +52,49 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_html": op2_html,
+    "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
+    "op7_secrets": op7_secrets,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_output": op10_token_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def secrets_sql() -> str:
+    """For each rule, offsets from the lengths of matches and of what lies between; then all spans of a text in order."""
+    parts, lists = [], []
+    for k, r in enumerate(secrets.RULES):
+        p = r.pattern.replace("'", "''")
+        if p == "[0-9a-f]+":  # runs are maximal either way
+            p = f"[0-9a-f]{{{r.least},}}"
+        parts.append(f"regexp_extract_all(t, '{p}', 0) AS m{k}, string_split_regex(t, '{p}') AS g{k}, regexp_extract_all(t, '{p}', {r.group}) AS c{k}")
+        lists.append(f"""list_filter(list_transform(range(1, len(m{k}) + 1), lambda i: {{
+            's': list_sum(list_transform(g{k}[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m{k}[1:i-1], lambda x: length(x))), 0)::BIGINT,
+            'k': {k}, 'n': length(m{k}[i]), 'c': length(c{k}[i])}}), lambda x: x.c >= {r.least})""")
+    name = "CASE x.k " + " ".join(f"WHEN {k} THEN '{r.kind}'" for k, r in enumerate(secrets.RULES)) + " END"
+    spans = lambda of: f"coalesce(list_aggregate(list_transform({of}, lambda x: {name} || ':' || x.s || ':' || (x.s + x.n)), 'string_agg', ','), '')"
+    base = "list_filter(f, lambda x: x.k < 3)"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        p AS (SELECT doc_id, {", ".join(parts)} FROM d),
+        a AS (SELECT doc_id, list_sort(flatten([{", ".join(lists)}])) AS f FROM p)
+        SELECT doc_id, {", ".join(f"len(list_filter(f, lambda x: x.k = {k}))::BIGINT AS n_{n}" for k, n in enumerate(secrets.BASE))},
+               sha256({spans(base)}) AS base_sha256, {spans("f")} AS spans
+        FROM a
+    """
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_secrets": secrets_sql(),
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+        ), b AS (
+            SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS best FROM p
+        )
+        SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> best THEN best END AS refers_to
+        FROM b
+    """,
+}
