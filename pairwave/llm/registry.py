@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwave.llm import html_extract, quality, secrets, sentencepiece, simhash, token_count, token_output, warc
+from pairwave.llm import html_extract, langid, quality, secrets, sentencepiece, simhash, token_count, token_output, warc
 from pairwave.llm.common import read
 
 
@@ -29,6 +29,10 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(read(spark, sf_dir, "pages"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(read(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
@@ -52,6 +56,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_html": op2_html,
+    "op3_language": op3_language,
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
