@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwave.llm import html_extract, langid, quality, secrets, sentencepiece, simhash, token_count, token_output, warc
+from pairwave.llm import decontam, html_extract, langid, quality, secrets, sentencepiece, simhash, token_count, token_output, warc
 from pairwave.llm.common import read
 
 
@@ -45,6 +45,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.reported(read(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encoded(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False)
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
+    "op8_decontamination": op8_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_output": op10_token_output,
 }

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwave.llm.common import connected, small, written
@@ -50,8 +50,8 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, columns in keep, fp (the fingerprint as a signed long)."""
-    rows = docs.select("doc_id", *keep, "text")
-    schema = rows.drop("text").withColumn("fp", F.lit(0).cast("long")).schema
+    rows = docs.select("doc_id", *keep, F.col("text").alias("__text"))
+    schema = rows.drop("__text").withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,16 +194,38 @@ def links(fps: DataFrame, radius: int = 2, leaf: int = 512) -> DataFrame:
 
 
 def groups(fp_rows: DataFrame, radius: int = 2, leaf: int = 512) -> DataFrame:
-    """(fp, component_id) for every fingerprint of the rows (doc_id, fp): the smallest doc_id that links reach from it."""
+    """(fp, root, component_id) for every fingerprint of the rows (doc_id, fp): root, the smallest fingerprint that links reach
+    from it, names the group, and component_id is the smallest doc_id there."""
     classes = written(fp_rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     roots = connected(links(classes.select("fp"), radius, leaf)).withColumnRenamed("node", "fp")
     linked = roots.join(classes, "fp")
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = linked.join(least, "root").select("fp", "component_id")
-    return classes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    of = linked.join(least, "root").select("fp", "root", "component_id")
+    return classes.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, leaf: int = 512) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, for every row of docs (doc_id, text)."""
     rows = written(fingerprints(docs, width), "fingerprints")
-    return rows.join(groups(rows, radius, leaf), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(groups(rows, radius, leaf).drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2, leaf: int = 512) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) without near-duplicates: of each group the first by doc_id, null last, and then by text.
+
+    Texts stay where they are: what is joined to them is the list of doc_ids to drop, in general a small part. Rows without
+    a doc_id or with one that others have too can't be told apart by it, so they, if any, are chosen by their whole content.
+    """
+    rows = written(fingerprints(docs, width), "fingerprints")
+    of = written(rows.join(groups(rows, radius, leaf), "fp").select("doc_id", "fp", "root", "component_id"), "groups")
+    drop = written(of.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    kept = docs.join(small(drop), "doc_id", "left_anti").select(*docs.columns)
+    shared = written(of.where("doc_id is null or doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("shared_id")), "shared-ids")
+    if shared.isEmpty():
+        return kept
+    mark = kept.join(small(shared), F.col("doc_id").eqNullSafe(F.col("shared_id")), "left_semi")
+    own = fingerprints(mark.select("doc_id", "text", F.struct(*docs.columns).alias("__row")), width, ("__row",))
+    placed = own.join(of.select("fp", "root", "component_id").distinct(), "fp").where("doc_id <=> component_id")
+    first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), F.col("__row.text"), F.to_json("__row"))
+    chosen = placed.withColumn("at", F.row_number().over(first)).where("at = 1").select("__row.*")
+    return kept.join(small(shared), F.col("doc_id").eqNullSafe(F.col("shared_id")), "left_anti").union(chosen)
