@@ -31,7 +31,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACE = r"\p{White_Space}"
 CHUNK = 1 << 16
 #: Parts whose counts, transducer states, and token pairs a worker keeps before it starts afresh.
-KEPT_PARTS, KEPT_STATES, KEPT_PAIRS = 1 << 19, 1 << 17, 1 << 20
+KEPT_PARTS, KEPT_STATES, KEPT_PAIRS = 3 << 17, 1 << 18, 1 << 18
+NEVER = 1 << 60
 
 
 def byte_letters() -> dict[str, int]:
@@ -51,10 +52,12 @@ class Transducer:
         ids = spec["model"]["vocab"]
         self.bytes_of = {i: bytes(letters[c] for c in s) for s, i in ids.items() if all(c in letters for c in s)}
         self.single = {b[0]: i for i, b in self.bytes_of.items() if len(b) == 1}
-        self.merge = {}
+        self.merge, self.made_of = {}, {}
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merge[ids[a], ids[b]] = (rank, ids[a + b])
+            self.made_of[ids[a + b]] = (ids[a], ids[b], rank)
+        self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.words = regex.compile(PATTERN.replace(r"\s", SPACE).replace(r"\S", rf"[^{SPACE}]"))
@@ -73,6 +76,7 @@ class Transducer:
         self.cut = regex.compile(rf" (?=[^{SPACE}])")
         self.pairs: dict[tuple[int, int], bool] = {}
         self.counts: dict[str, int] = {}
+        self.word_counts: dict[str, int] = {}
         self.states: list[tuple] = []
         self.bound()
 
@@ -80,6 +84,8 @@ class Transducer:
         """Drop what has grown too large; it is made again when needed."""
         if len(self.counts) > KEPT_PARTS:
             self.counts = {}
+        if len(self.word_counts) > KEPT_PARTS:
+            self.word_counts = {}
         if len(self.pairs) > KEPT_PAIRS:
             self.pairs = {}
         if not self.states or len(self.states) > KEPT_STATES:
@@ -91,18 +97,50 @@ class Transducer:
         """Plain BPE: the best-ranked pair is merged until none is left."""
         out = [self.single[b] for b in data]
         while len(out) > 1:
-            rank, at = min((self.merge.get(p, (1 << 60, 0))[0], k) for k, p in enumerate(zip(out, out[1:], strict=False)))
-            if rank == 1 << 60:
+            rank, at = min((self.merge.get(p, (NEVER, 0))[0], k) for k, p in enumerate(zip(out, out[1:], strict=False)))
+            if rank == NEVER:
                 break
             out[at : at + 2] = [self.merge[out[at], out[at + 1]][1]]
         return out
 
+    def spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The pieces that stand at a token's left (0) or right (1) edge while it is built, each with the rank at which it is used up."""
+        known = self.spines.get((token, side))
+        if known is None:
+            known, t = [(token, NEVER)], token
+            while t in self.made_of:
+                rank = self.made_of[t][2]
+                t = self.made_of[t][side]
+                known.append((t, rank))
+            known = self.spines[token, side] = known[::-1]
+        return known
+
     def follows(self, a: int, b: int) -> bool:
-        """Whether the BPE leaves token b as it is, after token a (-1: at the start)."""
+        """Whether the BPE leaves token b as it is, after token a (-1: at the start).
+
+        It does unless, while both tokens are being built, the pieces at their border have a merge that comes before
+        the one that uses up either; of equal ranks the left one comes first.
+        """
         known = self.pairs.get((a, b))
         if known is None:
-            both = self.bytes_of.get(a, b"") + self.bytes_of[b]
-            known = self.pairs[a, b] = self.merged(both) == ([b] if a < 0 else [a, b])
+            if a < 0:
+                known = self.merged(self.bytes_of[b]) == [b]
+            else:
+                left, right, i, j, known = self.spine(a, 1), self.spine(b, 0), 0, 0, True
+                while True:
+                    (x, x_ends), (y, y_ends) = left[i], right[j]
+                    rank = self.merge.get((x, y), (NEVER, 0))[0]
+                    if rank < x_ends and rank <= y_ends and rank < NEVER:
+                        known = False
+                        break
+                    if x_ends == y_ends == NEVER:
+                        break
+                    if x_ends <= y_ends:
+                        i += 1
+                    else:
+                        j += 1
+                known = known and self.follows(-1, b)
+            self.pairs[a, b] = known
         return known
 
     def step(self, state: int, byte: int) -> tuple[int, int]:
@@ -133,7 +171,13 @@ class Transducer:
 
     def part(self, text: str) -> int:
         """Tokens of a text without special tokens."""
-        return sum(self.run(w.encode()) for w in self.words.findall(text))
+        total, known = 0, self.word_counts
+        for w in self.words.findall(text):
+            n = known.get(w)
+            if n is None:
+                n = known[w] = self.run(w.encode())
+            total += n
+        return total
 
     def plain(self, text: str) -> int:
         if not text:
