@@ -12,6 +12,7 @@ Null texts count as empty and get the end id alone. Other columns are ignored. A
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -29,8 +30,10 @@ from pairwave.llm.common import new_path, written
 LENGTH = 1024
 #: Sequences to a batch.
 BATCH = 256
-#: Words, and lower-case words without signs, whose ids a worker keeps before it starts afresh.
-KEPT_WORDS = 3 << 17
+#: Words whose ids a worker keeps, and as many that it had before: of those, what is met again is kept again.
+KEPT_WORDS = 1 << 19
+#: Plain words that are encoded in one call.
+TOGETHER = 500
 #: Signs that, after an ASCII letter, always begin a pre-token of their own which no letter joins.
 SIGNS = ".,;:!?|%&*#$)"
 #: Separators that str.split() takes for white space and the library doesn't.
@@ -46,8 +49,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = None  # for each id whether it ends a pre-token
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.kept: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
         return array("H" if self.kind == np.uint16 else "I", ids).tobytes()
@@ -62,29 +70,41 @@ class Encoder:
             return stem, word[len(stem) :]
         return word, ""
 
-    def learn(self, words: list[str]) -> None:
+    def fresh(self, words: list[str]) -> None:
+        """Keep the ids of words by the library. Plain words go many to a call: each is one pre-token, whose last id ends it."""
+        plain = [w for w in words if w.isascii() and w.isalpha()] if self.ends is not None else []
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some):
+                data, size = ids.tobytes(), self.kind().itemsize
+                cuts = [0, *(last * size).tolist()]
+                self.kept.update(zip(some, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        rest = [w for w in words if w not in self.kept]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.kept[w] = self.packed(e.ids)
+
+    def learn(self, words: set[str]) -> None:
         """Keep the ids of words: those of the stem, then those of the signs."""
-        if len(self.kept) > KEPT_WORDS:
-            self.kept = {}
-        if len(self.stems) > KEPT_WORDS:
-            self.stems = {}
-        new = {w: self.parts(w) for w in words if w not in self.kept}
-        fresh = list({p for both in new.values() for p in both if p not in self.stems})
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.stems[p] = self.packed(e.ids)
+        back = {w: self.before[w] for w in words if w in self.before}
+        self.kept.update(back)
+        new = {w: self.parts(w) for w in words if w not in back}
+        self.fresh([p for p in dict.fromkeys(p for both in new.values() for p in both if p) if p not in self.kept])
         for w, (stem, signs) in new.items():
-            self.kept[w] = self.stems[stem] + self.stems[signs]
+            if signs:
+                self.kept[w] = (self.kept[stem] if stem else b"") + self.kept[signs]
+            elif w != stem:
+                self.kept[w] = self.kept[stem]
 
-    def encode(self, text: str) -> bytes:
-        """The ids, as little-endian numbers of ``kind``."""
-        if any(c in text for c in ODD):
-            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words = text.split()
-        try:
-            return b"".join([self.kept[w] for w in words])
-        except KeyError:
-            self.learn(words)
-            return b"".join([self.kept[w] for w in words])
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """For each text the ids, as little-endian numbers of ``kind``."""
+        if len(self.kept) > KEPT_WORDS:
+            self.kept, self.before = {}, self.kept
+        words = [None if any(c in t for c in ODD) else t.split() for t in texts]
+        self.learn(set().union(*(w for w in words if w)).difference(self.kept))
+        kept = self.kept
+        return [b"".join([kept[x] for x in w]) if w is not None else self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids) for w, t in zip(words, texts, strict=True)]
 
 
 @lru_cache(2)
@@ -155,12 +175,13 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, lengt
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                codes = e.encode(part.column(1).to_pylist())
+                for doc_id, code in zip(part.column(0).to_pylist(), codes, strict=True):
                     if sink is None:
                         store.create_dir(where, recursive=True)
                         out = store.open_output_stream(f"{where}/{name}")
                         sink = Sink(out, e.kind, length)
-                    sink.add(doc_id, row, np.concatenate((np.frombuffer(e.encode(text), e.kind), np.array([end_id], e.kind))))
+                    sink.add(doc_id, row, np.concatenate((np.frombuffer(code, e.kind), np.array([end_id], e.kind))))
                     row += 1
         if sink is not None:
             total = sink.close()
