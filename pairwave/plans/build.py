@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pairwave.config import BuildConfig
 from pairwave.operators import kernels, room
@@ -35,6 +36,11 @@ def loaded(spark: SparkSession, files: DataFrame, rate: int) -> DataFrame:
     return files.select("ord", "path").join(signals, "path").select("ord", F.col("path").alias("name"), "x", "error")
 
 
+def with_fields(rows: DataFrame, **more: str) -> StructType:
+    """The schema of rows with more fields, which may be null."""
+    return StructType([*rows.schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in more.items())).fields])
+
+
 def responses(rows: DataFrame, c: BuildConfig) -> DataFrame:
     """rows with near, far: simulated room responses. A room that can't have the drawn reverberation time gives error."""
     placed = room.sources(room.rooms(rows, c), c)
@@ -52,7 +58,7 @@ def responses(rows: DataFrame, c: BuildConfig) -> DataFrame:
                 made.append((near, far, None))
             yield b[keep].assign(near=[m[0] for m in made], far=[m[1] for m in made], room_error=[m[2] for m in made])
 
-    return placed.mapInPandas(run, rows.withColumns({"near": F.array(F.lit(0.0)), "far": F.array(F.lit(0.0)), "room_error": F.lit("")}).schema)
+    return placed.mapInPandas(run, with_fields(rows, near="array<double>", far="array<double>", room_error="string"))
 
 
 def mixed_long(pairs: DataFrame, c: BuildConfig) -> DataFrame:
@@ -91,7 +97,7 @@ def mixed_long(pairs: DataFrame, c: BuildConfig) -> DataFrame:
                 made = [one(r) for r in part.to_dict("records")]
                 yield part[keep].assign(noisy=[m[0] for m in made], clean=[m[1] for m in made], error=[m[2] for m in made])
 
-    return pairs.mapInPandas(run, pairs.select(*keep, F.array(F.lit(0.0)).alias("noisy"), F.array(F.lit(0.0)).alias("clean"), F.lit("").alias("error")).schema)
+    return pairs.mapInPandas(run, with_fields(pairs.select(*keep), noisy="array<double>", clean="array<double>", error="string"))
 
 
 def build(spark: SparkSession, c: BuildConfig, workers: int = 8) -> dict:
