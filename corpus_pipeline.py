@@ -20,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judged(docs, read(spark, sf_dir, "labels"), tuple(COLUMNS[1:])).where("kept").select(*COLUMNS)
+    return quality.judged(docs, quality.untoxic(read(spark, sf_dir, "labels")), tuple(COLUMNS[1:])).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality.judged(read(spark, sf_dir, "documents"), quality.untoxic(read(spark, sf_dir, "labels")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

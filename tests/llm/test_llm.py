@@ -197,6 +197,22 @@ def test_quality_scores_against_brute_force(spark):
     assert quality.judged(docs, marks.limit(0)).where("not base_failed and not kept").count() == 0
 
 
+def test_quality_verdicts_of_two_sizes_agree(spark):
+    """Clean unlabelled documents of the smaller corpus, judged there and as a part of the larger one."""
+    (small, small_labels), (large, large_labels) = ([spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels")] for sf in ("sf0.01", "sf0.1"))
+    extra = small.join(small_labels.select("doc_id"), "doc_id", "left_anti")
+    here = {r.doc_id: r for r in quality.judged(small, quality.untoxic(small_labels)).where("not base_failed").collect()}
+    both = large.unionByName(extra.withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    there = {r.doc_id - 1_000_000: r for r in quality.judged(both, quality.untoxic(large_labels)).where("doc_id >= 1000000 and not base_failed").collect()}
+    clean = [d for d, r in there.items() if r.score > -0.1]
+    assert len(clean) > 300 and sum(here[d].kept == there[d].kept for d in clean) >= 0.97 * len(clean)
+
+
+def test_toxic_documents_are_not_the_target(spark):
+    marks = quality.untoxic(labels(spark, ((1, 1, 0), (2, 1, 1), (3, 1, None), (4, 1, 0), (4, 0, 1))))
+    assert {r.doc_id for r in marks.collect()} == {1, 3}
+
+
 def test_base_figures(spark):
     text = "a b c\n\n a b c\na b c\nx *#"
     r = quality.measured(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
