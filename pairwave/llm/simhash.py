@@ -218,14 +218,15 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2, leaf: int = 51
     """
     rows = written(fingerprints(docs, width), "fingerprints")
     of = written(rows.join(groups(rows, radius, leaf), "fp").select("doc_id", "fp", "root", "component_id"), "groups")
-    drop = written(of.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    kept = docs.join(small(drop), "doc_id", "left_anti").select(*docs.columns)
-    shared = written(of.where("doc_id is null or doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("shared_id")), "shared-ids")
+    unsure = of.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") != F.col("component_id")).alias("out")).where("n > 1 or doc_id is null or out > 0")
+    ids = written(unsure.select(F.col("doc_id").alias("__id"), F.expr("n > 1 or doc_id is null").alias("shared")), "ids")
+    shared = ids.where("shared").select("__id")
+    kept = docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
     if shared.isEmpty():
         return kept
-    mark = kept.join(small(shared), F.col("doc_id").eqNullSafe(F.col("shared_id")), "left_semi")
+    mark = docs.join(small(shared), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     own = fingerprints(mark.select("doc_id", "text", F.struct(*docs.columns).alias("__row")), width, ("__row",))
     placed = own.join(of.select("fp", "root", "component_id").distinct(), "fp").where("doc_id <=> component_id")
     first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), F.col("__row.text"), F.to_json("__row"))
     chosen = placed.withColumn("at", F.row_number().over(first)).where("at = 1").select("__row.*")
-    return kept.join(small(shared), F.col("doc_id").eqNullSafe(F.col("shared_id")), "left_anti").union(chosen)
+    return kept.union(chosen)

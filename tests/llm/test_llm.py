@@ -148,6 +148,15 @@ def test_simhash_of_odd_texts(spark, docs):
     assert sum(r.text == LONG for r in kept) == 1 and sum(not (r.text or "").strip() for r in kept) == 1
 
 
+def test_ids_shared_by_groups(spark):
+    """Id 3 is the smallest of one group, and in another whose smallest is 2."""
+    r = random.Random(5)
+    a, b, c = (" ".join(str(r.random()) for _ in range(80)) for _ in range(3))
+    rows = [(3, a), (5, a), (2, b), (3, b), (7, c), (7, c), (8, None), (None, "")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(3, a), (2, b), (7, c), (8, "")])
+
+
 def test_secrets_against_brute_force(spark, docs):
     def spans(text):
         found = []
