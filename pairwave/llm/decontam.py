@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash windows the size of each benchmark item, multi-index Hamming blocks, exact check.
 
 Words are runs of letters and digits in lower case; shingles are of five words (an item of fewer words is one shingle). A
-window of a document with as many words as an item is compared with it by weighted Jaccard similarity of the two shingle
+window of a document with as many words as an item, or the whole of a shorter document (without SimHash, as it is one window), is compared with it by weighted Jaccard similarity of the two shingle
 multisets; the document is contaminated by the item if some window reaches ``similarity``.
 
 Only windows that share enough shingles with an item can reach it, so a membership test on shingle hashes first finds
@@ -127,8 +127,14 @@ def contamination(index: Index, ids: np.ndarray, least: float, spots: dict[int,
                 where.setdefault(i, []).append(p)
         for i, ps in where.items():
             m = len(index.parts[i])
-            need = math.ceil(m * 2 * least / (1 + least) - 1e-9)  # shared shingles without which the similarity is out of reach
-            if len(ps) < need or len(h) < m:
+            short, m = len(h) < m, min(m, len(h))
+            need = math.ceil((len(index.parts[i]) + m) * least / (1 + least) - 1e-9)  # shared shingles without which the similarity is out of reach
+            if len(ps) < need:
+                continue
+            if short:  # the whole document is its one window
+                s = similarity(index.counted[i], h)
+                if s >= least:
+                    yield i, 0, s
                 continue
             p = np.array(ps)
             run = p[need - 1 :] - p[: len(p) - need + 1] < m  # as many of them within one window

@@ -196,6 +196,26 @@ def test_decontamination_against_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want and (10_000, items[0].item_id) in want
 
 
+def test_documents_shorter_than_an_item(spark):
+    """An item less its first or last word or two, against plain counting over the whole document."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()[:15] + [(900, "one two three four")]
+    docs = [(20 * i + k, " ".join(x[1].split()[a : len(x[1].split()) - b])) for i, x in enumerate(items) for k, (a, b) in enumerate([(0, 1), (1, 0), (0, 2), (1, 1), (0, 5), (3, 6)])]
+    words = lambda t: decontam.WORDS.findall(t.lower())
+    want = set()
+    for d, t in docs:
+        for i, b in items:
+            n = min(5, len(words(b)))
+            y = Counter(tuple(words(b)[j : j + n]) for j in range(len(words(b)) - n + 1))
+            for s in range(max(0, len(words(t)) - len(words(b))) + 1):
+                w = words(t)[s : s + len(words(b))]
+                x = Counter(tuple(w[j : j + n]) for j in range(len(w) - n + 1))
+                if (x & y).total() >= 0.8 * (x | y).total():
+                    want.add((d, i))
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark(spark, [tuple(x) for x in items])).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 20
+    assert not {d for d, _ in want} & {r.doc_id for r in decontam.cleaned(spark.createDataFrame(docs, "doc_id long, text string"), benchmark(spark, [tuple(x) for x in items])).collect()}
+
+
 def test_quality_scores_against_brute_force(spark):
     docs, marks = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in quality.judged(docs, marks, buckets=512).collect()}
