@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags. The first pass decides what it can: blocks in menus, headers, footers, sidebars,
 notices, adverts, forms and comments (by element, role, class or id), and blocks made of links, are boilerplate; blocks of
 some length with enough stop words for running text of some language are content, as is a long block of an article; where
-a page marks its article, what stands outside is boilerplate. Short blocks and headings are left open. In the second pass each open
+a page marks its article, what stands outside is boilerplate. A page without any such block is in a language that the stop words
+don't know: there, length and share of links decide. A class or id sets nothing aside that holds the page's article or main, or
+its h1 if it has neither. Short blocks and headings are left open. In the second pass each open
 block inherits the label of its nearest decided neighbour in its region; between two at the same distance, a heading takes the
 one below and another block takes content. Without any decided neighbour an open block is content.
 
@@ -48,18 +50,22 @@ STOP = frozenset(
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+REGION = re.compile(r"<(?:article|main)\b", re.I)
+#: Characters of scripts that say about twice as much in one.
+WIDE = re.compile(r"[\u2e80-\u9fff\uac00-\ud7a3\uf900-\ufaff]")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def marked(attributes: str) -> bool:
-    """Whether an element's attributes call it boilerplate, or hide it."""
+def marked(attributes: str) -> tuple[bool, bool]:
+    """Whether an element's class or id calls it boilerplate, and whether its other attributes do, or hide it."""
+    hint = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id") and not HINTS.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
+            hint = True
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDING.search(value):
-            return True
-    return False
+            return hint, True
+    return hint, False
 
 
 class Blocks:
@@ -69,7 +75,11 @@ class Blocks:
         self.blocks: list[tuple[str, int, bool, int | None, bool]] = []
         self.parts: list[str] = []
         self.linked: list[str] = []
-        self.stack: list[tuple[str, bool, int | None]] = []
+        #: open elements: (name, set aside, region, numbers of the elements around that a class or id calls boilerplate)
+        self.stack: list[tuple[str, bool, int | None, tuple[int, ...]]] = []
+        self.hinted: list[tuple[int, ...]] = []
+        self.hints, self.cleared = 0, set()
+        self.plain = REGION.search(page) is None
         self.link = self.heading = self.regions = 0
         at, end = 0, len(page)
         while at < end:
@@ -91,6 +101,7 @@ class Blocks:
                 continue
             self.tag(name, bool(slash), attributes)
         self.end_block()
+        self.blocks = [(t, n, aside or not self.cleared.issuperset(h), region, heading) for (t, n, aside, region, heading), h in zip(self.blocks, self.hinted, strict=True)]
 
     def add(self, text: str) -> None:
         text = unescape(text) if "&" in text else text
@@ -107,8 +118,10 @@ class Blocks:
             self.end_block()
             self.link, self.heading = 0, not closes and name[0] == "h" and name[1:].isdigit()
             if name in LEAVES:
-                if not closes and marked(attributes) and name != "hr":
+                if not closes and any(marked(attributes)) and name != "hr":
                     self.leaf = True
+                elif not closes and name == "h1" and self.plain and self.stack and not self.stack[-1][1]:
+                    self.cleared.update(self.stack[-1][3])
                 return
             if closes:
                 for k in range(len(self.stack) - 1, -1, -1):
@@ -116,22 +129,30 @@ class Blocks:
                         del self.stack[k:]
                         break
                 return
-            _, aside, region = self.stack[-1] if self.stack else ("", False, None)
+            _, aside, region, hints = self.stack[-1] if self.stack else ("", False, None, ())
+            hint, sure = marked(attributes)
             if name in ("article", "main") and not aside:
-                if region is None:
-                    self.regions += 1
-                    region = self.regions
-                aside = marked(attributes) and name != "main"
+                if not self.cleared.issuperset(hints) and not (hint or sure) and (name == "main" or not self.regions):
+                    self.cleared.update(hints)
+                if self.cleared.issuperset(hints):
+                    if region is None:
+                        self.regions += 1
+                        region = self.regions
+                    aside = (hint or sure) and name != "main"
             elif name not in ("html", "body"):
-                aside = aside or name in ASIDE or name == "header" and region is None or marked(attributes)
-            self.stack.append((name, aside, region))
+                aside = aside or name in ASIDE or name == "header" and region is None or sure
+                if hint:
+                    self.hints += 1
+                    hints = (*hints, self.hints)
+            self.stack.append((name, aside, region, hints))
 
     leaf = False
 
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, aside, region = self.stack[-1] if self.stack else ("", False, None)
+            _, aside, region, hints = self.stack[-1] if self.stack else ("", False, None, ())
+            self.hinted.append(hints)
             self.blocks.append((text, len(" ".join("".join(self.linked).split())), aside or self.leaf, region, bool(self.heading)))
         self.parts, self.linked, self.leaf = [], [], False
 
@@ -153,6 +174,10 @@ def first_pass(blocks: list[tuple[str, int, bool, int | None, bool]]) -> list[bo
             labels.append(True)
         else:
             labels.append(None if region else False)
+    if True not in labels:
+        for i, (text, linked, aside, _, heading) in enumerate(blocks):
+            if not (aside or heading or linked > LINKS * len(text)) and len(text) + len(WIDE.findall(text)) >= LONG:
+                labels[i] = True
     inside = {b[3] for b, ok in zip(blocks, labels, strict=True) if b[3] and ok is not False}
     if inside:  # the page says where its article is
         labels = [ok if b[3] else False for b, ok in zip(blocks, labels, strict=True)]

@@ -265,6 +265,20 @@ def test_main_text():
     assert lines[0] == "A heading & more" and lines[2] == "Short one." and len(lines) == 4 and "  " not in lines[3]
 
 
+@pytest.mark.parametrize("line", ["Wczoraj rano mieszkańcy miasteczka zebrali się przed ratuszem, żeby porozmawiać o nowej drodze i szkole.", "Вчера утром жители городка собрались перед ратушей, чтобы поговорить о новой дороге и о школе рядом.", "昨日の朝、町の住民は役場の前に集まり、新しい道路と学校について話し合いました。町長は計画を詳しく説明した。"])
+def test_main_text_of_other_languages(line):
+    page = f"<body><nav><a href=/>Menu</a></nav><div>{line}</div><div>{line[::-1]}</div><div><a href=/>{line}</a></div><footer>{line}</footer></body>"
+    assert html_extract.main_text(page) == f"{line}\n{line[::-1]}"
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "content-sidebar-wrap", "no-comments"])
+def test_hints_round_the_article(name):
+    inner = PAGE[PAGE.index("<article>") : PAGE.index("<footer>")]
+    for text in (inner, inner.replace("article>", "div>")):
+        page = f"<body><div class='{name}'>{text}</div></body>"
+        assert html_extract.main_text(page) == html_extract.main_text(PAGE)
+
+
 def test_warc_records(spark):
     big = "ü" * 700_000
     pages = spark.createDataFrame([(1, "u\n1", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None)], "page_id long, url string, html string")
