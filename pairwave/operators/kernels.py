@@ -61,9 +61,15 @@ def impulse_response(dim, source, mic, absorption: float, order: int, rate: int,
     delay, gain = np.concatenate(delays), np.concatenate(gains)
     out = np.zeros(int(delay.max()) + 2 * half + 2)
     whole = np.floor(delay).astype(int)
-    k = np.arange(-half, half + 1)
+    # sinc and window of (tap - fraction) by the addition theorems: sines and cosines of the fraction only
     for at in range(0, len(delay), 1 << 14):
-        w, d, g = (v[at : at + (1 << 14)] for v in (whole, delay, gain))
-        t = k[None, :] - (d - w)[:, None]
-        np.add.at(out, w[:, None] + k[None, :] + half, g[:, None] * np.sinc(t) * (0.5 + 0.5 * np.cos(np.pi * np.clip(t / (half + 1), -1, 1))))
+        w, f, g = whole[at : at + (1 << 14)], (delay - whole)[at : at + (1 << 14)], gain[at : at + (1 << 14)]
+        f = np.maximum(f, 1e-12)
+        s = g * np.sin(np.pi * np.minimum(f, 1 - f)) / np.pi
+        a, b = np.cos(np.pi * f / (half + 1)), np.sin(np.pi * f / (half + 1))
+        low, span = int(w.min()), int(w.max() - w.min()) + 1
+        for k in range(-half, half + 1):
+            turn = np.pi * k / (half + 1)
+            y = (s if k % 2 else -s) * (0.5 + 0.5 * (np.cos(turn) * a + np.sin(turn) * b)) / (k - f)
+            out[low + k + half : low + k + half + span] += np.bincount(w - low, y, span)
     return out[half:]

@@ -263,20 +263,24 @@ def source_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ism_rir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Room responses at 8 kHz of as many rooms as there are vectors: length and where the direct sound stands."""
-    c = BuildConfig(target_sr=8_000, rt60_range=(0.15, 0.25))
-    placed = room.sources(room.rooms(planned(spark, sf_dir).select("global_idx"), c), c)
+    """Room responses, near and far, of as many rooms as there are vectors: lengths and where the direct sound stands; null for
+    rooms whose reverberation time no wall gives."""
+    placed = room.sources(room.rooms(planned(spark, sf_dir).select("global_idx"), CONFIG), CONFIG)
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = []
-            for r in b.where(b["feasible"]).dropna(subset=["global_idx"]).to_dict("records"):
+            for r in b.to_dict("records"):
                 at = lambda n, r=r: [r[f"{n}_{a}"] for a in "xyz"]
-                h = kernels.impulse_response(at("dim"), at("near"), at("mic"), r["absorption"], min(3, int(r["max_order"])), c.target_sr)
-                made.append((int(r["global_idx"]), len(h), int(np.argmax(np.abs(h)))))
-            yield pd.DataFrame(made, columns=["global_idx", "n", "peak_at"])
-
-    return placed.mapInPandas(run, "global_idx long, n long, peak_at long")
+                row = [r["global_idx"]]
+                for source in ("near", "far"):
+                    h = kernels.impulse_response(at("dim"), at(source), at("mic"), r["absorption"], int(r["max_order"]), CONFIG.target_sr) if r["feasible"] else None
+                    row += [None, None] if h is None else [len(h), int(np.argmax(np.abs(h)))]
+                made.append(row)
+            yield pd.DataFrame(made, columns=["global_idx", "n", "peak_at", "far_n", "far_peak_at"], dtype="Int64")
+
+    return placed.repartition(n).mapInPandas(run, "global_idx long, n long, peak_at long, far_n long, far_peak_at long")
 
 
 def mixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

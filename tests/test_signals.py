@@ -108,3 +108,31 @@ def test_build(spark, tmp_path, rirs):
         for i, s in enumerate(split["samples"]):
             x, _ = wav.decode((tmp_path / "out" / s["noisy_file"]).read_bytes())
             assert len(x) == 1000 and np.abs(x).max() == pytest.approx(0.95, abs=1e-3) and s["noisy_file"].endswith(f"{i:06d}.wav")
+
+
+def test_impulse_response_is_the_plain_sum():
+    dim, source, mic, rate, order = (4.1, 5.2, 2.7), (1.0, 2.0, 1.5), (2.2, 2.9, 1.1), 48_000, 4
+    got, want = kernels.impulse_response(dim, source, mic, 0.3, order, rate), np.zeros(1 << 14)
+    for m in np.ndindex(11, 11, 11):
+        for p in np.ndindex(2, 2, 2):
+            n = sum(abs(a - 5 - q) + abs(a - 5) for a, q in zip(m, p, strict=True))
+            if n <= order:
+                d = math.sqrt(sum(((1 - 2 * q) * s + 2 * (a - 5) * x - c) ** 2 for a, q, s, x, c in zip(m, p, source, dim, mic, strict=True)))
+                t = np.arange(-40, 41) - (d / 343 * rate) % 1
+                at = int(d / 343 * rate)
+                want[at : at + 81] += 0.7 ** (n / 2) / (4 * math.pi * d) * np.sinc(t) * (0.5 + 0.5 * np.cos(np.pi * t / 41))
+    assert np.allclose(got, want[40 : 40 + len(got)], atol=1e-12)
+
+
+def test_room_responses_are_whole(spark, tmp_path):
+    from pairwave.operators import room
+    from pairwave.plans import queries
+
+    spark.createDataFrame([(i, [0.1] * 64, i % 10) for i in range(12)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.global_idx: r for r in queries.ism_rir(spark, str(tmp_path)).collect()}
+    rooms = room.sources(room.rooms(spark.range(12).select(F.col("id").alias("global_idx")), queries.CONFIG), queries.CONFIG).collect()
+    assert len(got) == 12
+    for r in rooms:
+        for source, n in (("near", "n"), ("far", "far_n")):
+            dim, of, mic = ([r[f"{k}_{a}"] for a in "xyz"] for k in ("dim", source, "mic"))
+            assert got[r.global_idx][n] == (len(kernels.impulse_response(dim, of, mic, r.absorption, r.max_order, 48_000)) if r.feasible else None)
