@@ -28,6 +28,7 @@ SMOOTHING, SEEN = 1.0, 8.0
 #: Share of the trusted documents that may score under the threshold, and the steps in which scores are counted for it.
 SPARED, STEP = 0.01, 1e-4
 MIN_WORDS, REPEAT_PERCENT = 50, 50
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -145,11 +146,9 @@ def held_out(g: Column, t: Column, buckets: int, smoothing: float) -> Column:
     return let(F.struct(g.alias("g"), *(t[n].alias(n) for n in ("raw", "target", "all_raw", "all_target"))), of)
 
 
-def derived_threshold(docs: DataFrame, labels: DataFrame, table: Column, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
-    """One row, one column: the score that all but SPARED of the trusted documents with words enough reach, in steps; null without any."""
-    trusted = with_trust(docs.select("doc_id", "text"), labels).where("__trusted").select(hashes(words_of(F.col("text"))).alias("h"))
-    scores = trusted.where(F.size("h") >= MIN_WORDS).withColumn("t", table).select(held_out(grams(F.col("h"), buckets), F.col("t"), buckets, smoothing).alias("score"))
-    steps = scores.groupBy(F.floor(F.col("score") / STEP).alias("step")).agg(F.count("*").alias("n"))
+def derived_threshold(scores: DataFrame) -> DataFrame:
+    """One row, one column: the score that all but SPARED of the trusted documents (score) reach, in steps; null without any."""
+    steps = scores.where("score is not null").groupBy(F.floor(F.col("score") / STEP).alias("step")).agg(F.count("*").alias("n"))
     all_steps = F.sort_array(F.collect_list(F.struct("step", "n")))
     one = steps.agg(all_steps.alias("steps"), F.sum("n").alias("n"))
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("step"))
@@ -157,19 +156,24 @@ def derived_threshold(docs: DataFrame, labels: DataFrame, table: Column, buckets
     return one.select((F.aggregate("steps", none, more)["step"] * STEP).alias("threshold"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float | None = None) -> DataFrame:
-    """doc_id, columns in keep, base figures, base_failed, kept, score. Without a threshold, it comes from the trusted documents."""
+def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
+    """doc_id, columns in keep, base figures, base_failed, score, __trusted: two passes over the texts, one to count and one to score."""
     counted = written(ratios(bucket_counts(docs, labels, buckets), buckets, smoothing), "ratios")
-    table = counted.select(F.struct("*")).scalar()
-    least = F.lit(threshold) if threshold is not None else written(derived_threshold(docs, labels, table, buckets, smoothing), "threshold").scalar()
     m = measured(with_trust(docs, labels), (*keep, "__trusted"))
     g = grams(F.col("h"), buckets)
-    s = m.withColumn("t", table).withColumn("score", F.when(F.col("__trusted"), held_out(g, F.col("t"), buckets, smoothing)).otherwise(mean_ratio(g, F.col("t"))))
-    columns = ["doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score"]
-    # inline() of one row: a filter on the verdict then stays above, and nothing is worked out twice
-    out = s.select(F.inline(F.array(F.struct(*columns))))
+    s = m.withColumn("t", counted.select(F.struct("*")).scalar()).withColumn("score", F.when(F.col("__trusted"), held_out(g, F.col("t"), buckets, smoothing)).otherwise(mean_ratio(g, F.col("t"))))
+    return s.select("doc_id", *keep, *FIGURES, "base_failed", "score", "__trusted")
+
+
+def judged(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float | None = None) -> DataFrame:
+    """doc_id, columns in keep, base figures, base_failed, kept, score. Without a threshold, it comes from the trusted documents.
+
+    Scores are written once, so that the threshold and the verdicts read them and not the texts.
+    """
+    rows = written(scored(docs, labels, keep, buckets, smoothing), "scores")
+    least = F.lit(threshold) if threshold is not None else derived_threshold(rows.where(F.col("__trusted") & (F.col("n_words") >= MIN_WORDS)).select("score")).scalar()
     verdict = ~F.col("base_failed") & F.coalesce(F.col("score") >= F.coalesce(least, F.lit(-math.inf)), F.lit(False))
-    return out.select(*columns[:-1], verdict.alias("kept"), "score")
+    return rows.select("doc_id", *keep, *FIGURES, "base_failed", verdict.alias("kept"), "score")
 
 
 def brute_score(grams_of_docs: list[list[int]], trusted: list[bool], buckets: int, smoothing: float = SMOOTHING) -> list[float | None]:
