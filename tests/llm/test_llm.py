@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -271,6 +272,63 @@ def test_main_text_of_other_languages(line):
     assert html_extract.main_text(page) == f"{line}\n{line[::-1]}"
 
 
+SENTENCE = "This is the story of the day, and it is long enough to be taken for running text by itself."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post share-enabled"><p>{}</p></article><footer>{}</footer>',
+        "<article><svg viewBox=0><p>{}</p></article><script>var x = 1",
+        "<body><select><noscript><p>{}</p><!-- {}",
+        '<div class="page-header wide"><p>{}</p></div><div class=sidebar><p>short</p></div>',
+        "<nav><a href=/>Home</a></nav><div>{}</div><div>&copy; 2024 of the paper, all rights reserved</div>",
+        "<p title='a > b'>{}</p>",
+        '<div id="comments"><article class="comment-body"><p>{0}</p></article></div><main><p>{0}</p></main>',
+    ],
+)
+def test_odd_pages(page):
+    assert html_extract.main_text(page.format(SENTENCE, SENTENCE)) == SENTENCE
+
+
+def test_scripts_and_ties():
+    japanese = "昨日の朝、町の住民は役場の前に集まり、新しい道路と学校について話し合いました。" * 2
+    assert html_extract.main_text(f"<div>{japanese}</div><div class=cookie><p>{SENTENCE}</p></div>") == japanese
+    link = "<p><a href=/>A link with some words</a></p>"
+    assert html_extract.main_text(f"{link}<p>short</p><p>{SENTENCE}</p>") == f"short\n{SENTENCE}"  # a tie: content
+    assert html_extract.main_text(f"<p>{SENTENCE}</p><h2>below are links</h2>{link}") == SENTENCE  # a tie: a heading takes the one below
+
+
+@pytest.mark.parametrize("page", ['<b "' * 250_000 + ">", '<a "' * 250_000, '<b ">" ' * 150_000, "<div>" * 20_000 + "</section>" * 20_000, "<div class=ad>" * 60_000, "<button>" * 100_000, "<script>" + "</script " * 100_000, "<" * 1_000_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 5
+
+
+def test_text_rules_without_markup(spark):
+    """Classes, ids, roles and semantic elements taken away, the text rules still find 0.95 of the text and add less than 0.05."""
+    both = want = got = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        bare = re.sub(r"<(/?)(article|main|nav|footer|header|aside|section|form)\b[^>]*>", r"<\1div>", re.sub(r'\s(class|id|role)="[^"]*"', "", r.html))
+        a, b = (Counter(html_extract.main_text(x).split("\n")) for x in (r.html, bare))
+        both, want, got = (n + sum(len(k) * v for k, v in c.items()) for n, c in ((both, a & b), (want, a), (got, b)))
+    assert both > 0.95 * want and both > 0.95 * got
+
+
+def test_second_pass_against_plain_code():
+    r = random.Random(9)
+    for _ in range(300):
+        blocks = [html_extract.Block("x", 0, False, None, r.random() < 0.3, 0) for _ in range(r.randrange(1, 14))]
+        labels = [r.choice((True, False, None, None)) for _ in blocks]
+        want = []
+        for i, (b, label) in enumerate(zip(blocks, labels, strict=True)):
+            decided = [(abs(j - i), j, ok) for j, ok in enumerate(labels) if ok is not None]
+            near = [x for x in decided if x[0] == min(decided)[0]]
+            want.append(label if label is not None else True if not near else near[-1][2] if b.heading else any(x[2] for x in near))
+        assert html_extract.second_pass(blocks, labels) == want
+
+
 @pytest.mark.parametrize("name", ["has-sidebar", "content-sidebar-wrap", "no-comments"])
 def test_hints_round_the_article(name):
     inner = PAGE[PAGE.index("<article>") : PAGE.index("<footer>")]
