@@ -1,25 +1,33 @@
-"""Secret scans behind a trigram index.
+"""Secret scans behind a trigram inverted index.
 
-From each rule's regular expression a Boolean query over lower-case trigrams is derived: what every match must hold.
-The index holds the trigrams that the queries name. A row's posting list, the index trigrams its text has, is made in one pass
-and stays with the row, so that intersecting postings is a test on that list and no text is shuffled; ``postings`` and
-``candidates`` give the same index as tables. Only candidates of a rule are verified by its regular expression; a rule
-without a mandatory trigram (runs of hex digits) scans every text.
+From each rule's regular expression a Boolean query over lower-case trigrams is derived: what every match must hold. The
+index is a table of postings (trigram, key) for the trigrams that some query names, where key is a text's MD5: equal texts have
+the same postings, which stand there once. The postings are intersected and united as the queries ask, text
+by text, which gives the candidates (key, rules). Rows are joined to the candidates by key, and only the rules of a row's
+candidate are verified by their regular expressions; a rule without a mandatory trigram (runs of hex digits) scans every
+text. Up to ``CANDIDATES`` candidates go to every task and no text moves; beyond that, the join shuffles the rows by key, and Spark
+splits the rows of a frequent text.
 
 Matches are leftmost and do not overlap within a kind; a match whose checked group is shorter than the rule asks is
-dropped. Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows are scanned one by one: repeated rows
-and doc_ids stay, nulls elsewhere don't matter, and columns that are not named are only carried if asked for.
+dropped. Offsets are code points, ends exclusive. Null and empty texts have no spans. Repeated rows and doc_ids stay, nulls
+elsewhere don't matter, and columns that are not named are only carried if asked for.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from re import _constants as sre
 from re import _parser as sre_parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwave.llm.common import small, written
+
+#: Candidates (a key and a number, about 50 bytes) up to which they are sent to every task.
+CANDIDATES = 1_000_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -109,39 +117,40 @@ def trigrams(query: Query) -> set[str]:
     return set() if query is True else {query} if isinstance(query, str) else set().union(*map(trigrams, query[1]))
 
 
-def holds(query: Query, posted: Column) -> Column:
-    """Whether a row with these posted trigrams answers the query."""
-    if query is True:
-        return F.lit(True)
-    if isinstance(query, str):
-        return F.array_contains(posted, query)
-    parts = [holds(q, posted) for q in query[1]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p if query[0] == "and" else out | p
-    return out
-
-
 def vocabulary(rules: tuple[Rule, ...]) -> list[str]:
     return sorted(set().union(*(trigrams(derived(r.pattern)) for r in rules)))
 
 
-def posted(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """The index trigrams of a text."""
-    return F.get(F.transform(F.array(F.lower(text)), lambda low: F.filter(F.array(*map(F.lit, vocabulary(rules))), lambda t: F.contains(low, t))), F.lit(0))
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns in keep, __text (null: empty), __key."""
+    rows = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("__text"))
+    return rows.withColumn("__key", F.md5(F.col("__text").cast("binary")))
+
+
+def postings(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(trigram, key): the index of rows (__text, __key), each posting once. trigram: the number in the vocabulary."""
+    known = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for i, t in enumerate(vocabulary(rules))))
+    found = F.transform(F.array(F.lower("__text")), lambda low: F.transform(F.filter(known, lambda x: F.contains(low, x["t"])), lambda x: x["i"]))
+    return rows.select(F.explode(F.get(found, F.lit(0))).alias("trigram"), F.col("__key").alias("key")).distinct()
 
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(trigram, doc_id): the index as a table."""
-    return docs.select(F.explode(posted(F.coalesce("text", F.lit("")), rules)).alias("trigram"), "doc_id")
+def answered(query: Query, posted: Column, known: list[str]) -> Column:
+    """Whether a text with these postings answers the query."""
+    if query is True:
+        return F.lit(True)
+    if isinstance(query, str):
+        return F.array_contains(posted, known.index(query))
+    parts = [answered(q, posted, known) for q in query[1]]
+    return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), parts)
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, kinds): documents whose postings intersect as some rule's query asks, for rules that have one."""
-    lists = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("posted"))
-    asked = [(r.kind, derived(r.pattern)) for r in rules]
-    kinds = F.array_compact(F.array(*(F.when(holds(q, F.col("posted")), F.lit(k)) for k, q in asked if q is not True)))
-    return lists.select("doc_id", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    """(key, rules): texts whose postings answer some rule's query, and a bit for each such rule."""
+    known = vocabulary(rules)
+    lists = index.groupBy("key").agg(F.collect_set("trigram").alias("posted"))
+    asked = [(k, derived(r.pattern)) for k, r in enumerate(rules)]
+    some = [F.when(answered(q, F.col("posted"), known), F.lit(1 << k)).otherwise(F.lit(0)) for k, q in asked if q is not True]
+    return lists.select("key", reduce(lambda a, b: a + b, some, F.lit(0)).alias("rules")).where("rules > 0")
 
 
 NO_SPANS = "array<struct<s:int,e:int,k:int>>"
@@ -171,16 +180,18 @@ def quick(rule: Rule) -> str:
     return rule.pattern.removesuffix("+") + f"{{{rule.least}}}" if rule.pattern.startswith("[") and rule.least else rule.pattern
 
 
-def scanned(docs: DataFrame, keep: tuple[str, ...] = (), rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scanned(docs: DataFrame, keep: tuple[str, ...] = (), rules: tuple[Rule, ...] = RULES, most: int = CANDIDATES) -> DataFrame:
     """doc_id, columns in keep, found: array of (s, e, k), by start and then rule."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", *keep, text.alias("__text")).withColumn("__posted", posted(F.col("__text"), rules))
-    t = F.col("__text")
-    each = []
+    rows = keyed(docs, keep)
+    index = written(postings(rows, rules), "postings")
+    found = written(candidates(index, rules), "candidates").select(F.col("key").alias("__key"), F.col("rules").alias("__rules"))
+    t, each = F.col("__text"), []
     for order, r in enumerate(rules):
-        maybe = holds(derived(r.pattern), F.col("__posted")) & F.rlike(t, F.lit(quick(r)))
+        maybe = F.rlike(t, F.lit(quick(r)))
+        if derived(r.pattern) is not True:
+            maybe = (F.col("__rules").bitwiseAND(1 << order) > 0) & maybe
         each.append(F.coalesce(F.when(maybe, matches(t, r, order)), F.array().cast(NO_SPANS)))
-    return rows.select("doc_id", *keep, F.sort_array(F.concat(*each)).alias("found"))
+    return rows.join(small(found, most), "__key", "left").select("doc_id", *keep, F.sort_array(F.concat(*each)).alias("found"))
 
 
 def listed(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:

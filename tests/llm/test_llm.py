@@ -168,8 +168,19 @@ def test_secrets_against_brute_force(spark, docs):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(r[0], r[1]) for r in ROWS]
     got = Counter((r.doc_id, r.spans) for r in secrets.reported(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == Counter((d, spans(t or "")) for d, t in rows) and any(s for _, s in got)
-    index = secrets.candidates(secrets.postings(docs)).collect()
-    assert {"assign", "access"} <= set(next(r.kinds for r in index if r.doc_id == 7))
+    moved = secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string"), most=0)  # candidates joined by a shuffle
+    assert Counter((r.doc_id, r.spans) for r in moved.select("doc_id", secrets.listed(F.col("found")).alias("spans")).collect()) == got
+
+
+def test_trigram_postings_against_brute_force(spark, docs):
+    rows, known = secrets.keyed(docs), secrets.vocabulary(secrets.RULES)
+    texts = {hashlib.md5((r[1] or "").encode()).hexdigest(): (r[1] or "").lower() for r in ROWS}
+    index = secrets.postings(rows)
+    assert Counter((r.trigram, r.key) for r in index.collect()) == Counter((i, k) for k, t in texts.items() for i, g in enumerate(known) if g in t)
+    has = lambda q, t: q is True or (q in t if isinstance(q, str) else (all if q[0] == "and" else any)(has(x, t) for x in q[1]))
+    asked = [(1 << k, secrets.derived(r.pattern)) for k, r in enumerate(secrets.RULES)]
+    want = {k: sum(bit for bit, q in asked if q is not True and has(q, t)) for k, t in texts.items()}
+    assert {r.key: r.rules for r in secrets.candidates(index).collect()} == {k: v for k, v in want.items() if v} and any(want.values())
 
 
 def test_trigram_queries():
@@ -197,6 +208,46 @@ def test_decontamination_against_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want and (10_000, items[0].item_id) in want
 
 
+def test_decontamination_recall(spark):
+    """Items edited at random, inside other words: of those that still reach 0.8, at least 0.97 are found; blocks let few pairs through."""
+    r = random.Random(2)
+    items = [tuple(x) for x in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").select("item_id", "text").collect()]
+    index, vocabulary = decontam.Index(items), " ".join(t for _, t in items).split()
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    found = total = 0
+    for _ in range(600):
+        item, text = r.choice(items)
+        w = text.split()
+        for _ in range(r.choice((1, 1, 2, 3))):
+            k = r.randrange(len(w))
+            w[k : k + 1] = r.choice(([r.choice(vocabulary)], [], [w[k], r.choice(vocabulary)]))
+        around = [r.choice(vocabulary) + "q" for _ in range(30)]
+        doc, own = (decontam.WORDS.findall(t.lower()) for t in (" ".join(around + w + around), text))
+        windows = (grams(doc[s : s + len(own)]) for s in range(len(doc) - len(own) + 1))
+        if max((x & grams(own)).total() / (x | grams(own)).total() for x in windows) >= 0.8:
+            total += 1
+            found += any(index.item_id[i] == item for _, i, _, _ in decontam.searched(index, [" ".join(doc)], 0.8))
+    assert total > 80 and found >= 0.97 * total
+    other = np.random.default_rng(0).integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2)
+    assert len(set(zip(*(x.tolist() for x in index.proposed(other)), strict=True))) < 0.05 * 500 * len(items)
+
+
+def test_hamming_blocks_find_all_within_the_radius(spark):
+    r, index = np.random.default_rng(4), decontam.Index([(i, " ".join(f"w{i}x{j}" for j in range(9))) for i in range(50)])
+    prints = np.array([int(index.print[i]) ^ sum(1 << int(b) for b in r.choice(64, n, replace=False)) for i in range(50) for n in range(0, 18)], np.uint64)
+    near = np.bitwise_count(prints[:, None] ^ index.print[None, :]) <= decontam.RADIUS
+    assert index.within(prints, 5, 1, 99) == [(int(w), int(i)) for w, i in np.argwhere(near)]
+
+
+def test_benchmark_in_blocks(spark):
+    """More items than a block takes, each in one document."""
+    docs = spark.createDataFrame([(i, f"so {' '.join(f'w{i}x{j}' for j in range(12))} end") for i in range(60)], "doc_id long, text string")
+    items = benchmark(spark, [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(60)])
+    got = decontam.contaminated(docs, items, block=7).collect()
+    assert sorted((r.doc_id, r.item_id, r.first_word, r.similarity) for r in got) == [(i, i, 1, 1.0) for i in range(60)]
+    assert decontam.cleaned(docs, items.where("item_id < 50"), block=20).count() == 10
+
+
 def test_documents_shorter_than_an_item(spark):
     """An item less its first or last word or two, against plain counting over the whole document."""
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()[:15] + [(900, "one two three four")]
