@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwave.llm.common import connected, small, written
@@ -207,7 +207,8 @@ def groups(fp_rows: DataFrame, radius: int = 2, leaf: int = 512) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, leaf: int = 512) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, for every row of docs (doc_id, text)."""
     rows = written(fingerprints(docs, width), "fingerprints")
-    return rows.join(groups(rows, radius, leaf).drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = small(written(groups(rows, radius, leaf).drop("root"), "groups"))  # a table of its own: Spark can split the rows of a frequent fingerprint
+    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2, leaf: int = 512) -> DataFrame:
@@ -217,7 +218,8 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2, leaf: int = 51
     a doc_id or with one that others have too can't be told apart by it, so they, if any, are chosen by their whole content.
     """
     rows = written(fingerprints(docs, width), "fingerprints")
-    of = written(rows.join(groups(rows, radius, leaf), "fp").select("doc_id", "fp", "root", "component_id"), "groups")
+    group = written(groups(rows, radius, leaf), "groups")
+    of = written(rows.join(small(group), "fp").select("doc_id", "fp", "root", "component_id"), "rows-of-groups")
     unsure = of.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") != F.col("component_id")).alias("out")).where("n > 1 or doc_id is null or out > 0")
     ids = written(unsure.select(F.col("doc_id").alias("__id"), F.expr("n > 1 or doc_id is null").alias("shared")), "ids")
     shared = ids.where("shared").select("__id")
@@ -226,7 +228,7 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2, leaf: int = 51
         return kept
     mark = docs.join(small(shared), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     own = fingerprints(mark.select("doc_id", "text", F.struct(*docs.columns).alias("__row")), width, ("__row",))
-    placed = own.join(of.select("fp", "root", "component_id").distinct(), "fp").where("doc_id <=> component_id")
-    first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), F.col("__row.text"), F.to_json("__row"))
-    chosen = placed.withColumn("at", F.row_number().over(first)).where("at = 1").select("__row.*")
+    placed = own.join(small(group), "fp").where("doc_id <=> component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col("__row.text"), F.to_json("__row"))
+    chosen = placed.groupBy("root").agg(F.min_by("__row", order).alias("__row")).select("__row.*")  # one row of each group leaves a task
     return kept.union(chosen)
