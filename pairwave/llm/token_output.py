@@ -1,6 +1,6 @@
 """Token ids as Arrow stream files of equal-length sequences.
 
-Documents are encoded in ascending order of doc_id (null first; repeated ids by text), each followed by an end id, and laid
+Documents are encoded in ascending order of doc_id (null first; repeated ids by a hash of the text), each followed by an end id, and laid
 end to end. A file is an Arrow IPC stream of batches with three columns: ``ids``, a fixed-size list of ``length`` ids;
 ``mask``, of as many booleans, false on padding; and ``docs``, the documents that begin in that sequence, as (doc_id,
 row, at, n). Nothing is compressed, so sequence k of a memory-mapped file is a slice, with no copy. Only a file's
@@ -166,7 +166,8 @@ class Sink:
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, length: int = LENGTH) -> DataFrame:
     """Write the files; returns the manifest (part, file, n_tokens) as a table, one row a file, parts in order."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", F.xxhash64("text"))  # rows with the same or no doc_id needn't share a task
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, e, sink, row = TaskContext.get(), encoder(path), None, 0
@@ -241,7 +242,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 for k in range(0, len(rows), 1 << 14):
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[k : k + (1 << 14)]], pa.int64()), pa.array(at[k : k + (1 << 14)]), pa.array(n[k : k + (1 << 14)]), pa.array([r[3] for r in rows[k : k + (1 << 14)]], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    table = spark.createDataFrame(starts, "file string, start long").repartition(len(starts), "file")
+    table = spark.createDataFrame(starts, "file string, start long").repartitionByRange(len(starts), "start")
     return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
