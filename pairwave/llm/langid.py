@@ -40,20 +40,21 @@ def counts(text: str | None, size: int = SIZE) -> np.ndarray | None:
     """Damped counts of a text's hashed n-grams; None without a letter."""
     if not text:
         return None
-    total, found = np.zeros(size, np.float64), False
+    total, found, shift = np.zeros(size, np.float64), False, np.uint32(32 - int(math.log2(size)))
+    tail = np.array([], np.uint32)  # the two signs before a piece
     for at in range(0, len(text), PIECE):
-        x = np.frombuffer(text[at : at + PIECE + 2].lower().encode("utf-32-le"), np.uint32)
+        x = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         is_letter = letters()[x]
-        if not is_letter.any():
-            continue
-        found = True
+        found = found or bool(is_letter.any())
         x = np.where(is_letter, x, 32).astype(np.uint32)
-        x = x[np.r_[True, is_letter[1:] | is_letter[:-1]]]  # one blank between words
-        one = x * np.uint32(2654435761)
-        two = one[:-1] * np.uint32(31) + x[1:] * np.uint32(2246822519)
-        three = two[:-1] * np.uint32(31) + x[2:] * np.uint32(3266489917)
-        for h in (one, two, three):
-            total += np.bincount(h >> np.uint32(32 - int(math.log2(size))), minlength=size)
+        x = x[(x != 32) | (np.r_[tail[-1:] if len(tail) else 0, x[:-1]] != 32)]  # one blank between words
+        every = np.r_[tail, x].astype(np.uint32)
+        one = every * np.uint32(2654435761)
+        two = one[:-1] * np.uint32(31) + every[1:] * np.uint32(2246822519)
+        three = two[:-1] * np.uint32(31) + every[2:] * np.uint32(3266489917)
+        for n, h in enumerate((one, two, three)):
+            total += np.bincount(h[max(0, len(tail) - n) :] >> shift, minlength=size)  # those that end in this piece
+        tail = every[-2:]
     return np.log1p(total).astype(np.float32) if found else None
 
 

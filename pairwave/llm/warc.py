@@ -1,7 +1,8 @@
 """WARC archives through a chunked record table.
 
 A record is one or more rows (record, chunk number): a payload longer than ``chunk`` bytes is cut by the scan into pieces of
-that size, so that no step in Python, and no Arrow batch, holds a whole large record. The writer streams chunks into gzip
+that size, and each is a row of its own from there on: Python holds one Arrow batch of them, which
+``spark.sql.execution.arrow.maxBytesPerBatch`` bounds, however large the record (the JVM holds a row's html while it cuts it). The writer streams chunks into gzip
 members, one member a record, under a running SHA-1 that must match the digest in the record's header when its last chunk
 is in; the reader streams archives back into chunk rows that carry the running digest and length.
 
@@ -170,7 +171,7 @@ def read_archives(manifest: DataFrame, chunk: int = CHUNK, with_payload: bool =
                     yield pack(held)
 
     files = manifest.select("file")
-    return files.repartition(max(1, files.count()), "file").mapInArrow(run, CHUNKS)
+    return files.repartitionByRange(max(1, files.count()), "file").mapInArrow(run, CHUNKS)
 
 
 def round_trip(pages: DataFrame, chunk: int = CHUNK, least: int = LEAST) -> DataFrame:

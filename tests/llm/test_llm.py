@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -113,6 +114,17 @@ def test_token_files(spark, docs):
         at += len(ids)
 
 
+def test_token_files_of_repeated_and_null_ids(spark, docs):
+    """Each row's ids once, one after the other, null first and then by doc_id."""
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = lambda x: [*t.encode(x or "", add_special_tokens=False).ids, 2]
+    want = Counter((r[0], len(ids(r[1])), zlib.crc32(np.array(ids(r[1]), "<u4").tobytes())) for r in ROWS)
+    got = sorted(OPS["output"](spark, docs).collect(), key=lambda r: r.start)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    assert [r.doc_id is not None for r in got] == sorted(r.doc_id is not None for r in got) and [r.doc_id for r in got[2:]] == sorted(r.doc_id for r in got[2:])
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
+
+
 def test_token_files_are_mapped(spark, docs, tmp_path):
     manifest = token_output.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/t", length=16)
     for r in manifest.collect():
@@ -121,6 +133,14 @@ def test_token_files_are_mapped(spark, docs, tmp_path):
         assert sum(map(sum, table.column("mask").to_pylist())) == r.n_tokens
 
 
+@pytest.mark.parametrize("text", [None, "", "One", "one TWO", "a b c", "a b c d a b c", " x\t\ny\x0b\x0c\rz\u00a0z É é ".replace(" x", "x"), " ".join(str(i % 7) for i in range(200))])
+def test_fingerprint_against_plain_code(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def components(fps, radius):
     f = np.array(fps, np.uint64)
     near, label = np.bitwise_count(f[:, None] ^ f[None, :]) <= radius, np.arange(len(f))
@@ -306,6 +326,14 @@ def test_language_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
 
 
+def test_pieces_of_a_long_text_count_once(monkeypatch):
+    text = "Ein  Satz, der\n12 Wörter hat -- und 日本語. " * 30
+    whole = langid.counts(text)
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(langid, "PIECE", size)
+        assert (langid.counts(text) == whole).all()
+
+
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><nav><a href=/>Home</a> <a>News</a></nav>
 <article><h1>A heading &amp; more</h1><p>This is the first paragraph of the story, and it is long enough to be taken for running text by itself.</p>
 <p>Short one.</p><p>It goes on with   another paragraph that has the words which running text in this language would have in it.</p></article>
