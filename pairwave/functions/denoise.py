@@ -19,7 +19,7 @@ class Denoiser(Protocol):
 
 
 class Passthrough:
-    """Gives each block back."""
+    """Gives each block back. Applied by ``denoised``, it never reaches Python."""
 
     def __init__(self, model_path: str | None, sample_rate: int, block_size: int):
         self.model_path, self.sample_rate, self.block_size = model_path, sample_rate, block_size
@@ -28,9 +28,21 @@ class Passthrough:
         return block.copy()
 
 
+class Smoother:
+    """Each sample averaged with the one before it: a denoiser small enough to be checked."""
+
+    def __init__(self, model_path: str | None, sample_rate: int, block_size: int):
+        self.model_path, self.sample_rate, self.block_size = model_path, sample_rate, block_size
+
+    def process(self, block: np.ndarray) -> np.ndarray:
+        return (block + np.concatenate((np.zeros(1), block[:-1]))) / 2 if len(block) else block.copy()
+
+
 def denoised(rows: DataFrame, make: Callable[..., Denoiser] = Passthrough, config: StreamConfig | None = None, column: str = "x") -> DataFrame:
     """rows with the column (array<double>) denoised and blended with what came in by the config's strength."""
     c = config or StreamConfig()
+    if make is Passthrough or not c.enabled:
+        return rows
     strength = min(1.0, max(0.0, c.strength))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,7 +51,7 @@ def denoised(rows: DataFrame, make: Callable[..., Denoiser] = Passthrough, confi
             out = []
             for x in b[column]:
                 dry = np.asarray(x, float)
-                wet = model.process(dry) if c.enabled else dry
+                wet = model.process(dry)
                 if wet.shape != dry.shape:
                     raise ValueError("a denoiser must keep the shape of a block")
                 out.append(wet if strength >= 1 else (1 - strength) * dry + strength * wet)

@@ -1,7 +1,7 @@
 """Signals as array<double> columns: level, gain, mixing, convolution, resampling, channels, quantisation.
 
 An expression that a lambda mentions is computed again for each element, so arguments that are used inside one are bound by
-``let`` first. NaN is never the smallest or largest by accident: Spark orders it above all numbers, and rules say what it gives.
+``let`` first. A null sample makes sums and what is made of them null, as in SQL. NaN is never the smallest or largest by accident: Spark orders it above all numbers, and rules say what it gives.
 """
 
 from __future__ import annotations
@@ -89,13 +89,23 @@ def segment(x: Column, length: int, u: Column) -> Column:
     return let(F.struct(x.alias("x"), u.alias("u")), lambda s: cut(s["x"], s["u"]))
 
 
+def places(n: Column) -> Column:
+    """0, 1, ... n - 1; none for n = 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def downmixed(frames: Column) -> Column:
     return F.transform(frames, lambda f: total(f) / F.size(f))
 
 
 def frames_of(x: Column, channels: int) -> Column:
-    """Interleaved samples as frames."""
-    return let(x, lambda x: F.transform(F.sequence(F.lit(0), (F.size(x) / channels).cast("int") - 1), lambda i: F.slice(x, i * channels + 1, F.lit(channels))))
+    """Interleaved samples as frames; samples short of a frame are left out."""
+    return let(x, lambda x: F.transform(places((F.size(x) / channels).cast("int")), lambda i: F.slice(x, i * channels + 1, F.lit(channels))))
+
+
+def first_channels(frames: Column, channels: int) -> Column:
+    """The first so many channels of each frame."""
+    return F.transform(frames, lambda f: F.slice(f, 1, channels))
 
 
 def fanned_out(frames: Column, channels: int) -> Column:
@@ -117,7 +127,7 @@ def resampled(x: Column, up: int, down: int, taps: list[float]) -> Column:
 
             return F.aggregate(F.sequence(F.lit(0), F.lit(len(taps) - 1)), F.lit(0.0), add)
 
-        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) * up / down).cast("int") - 1), at)
+        return F.transform(places(F.ceil(F.size(x) * up / down).cast("int")), at)
 
     return let(x, run)
 
@@ -145,5 +155,14 @@ def gain_label(db: Column) -> Column:
     return F.format_string("%+.1f dB", db)
 
 
+def percent_label(percent: Column) -> Column:
+    return F.format_string("%d %%", percent.cast("long"))
+
+
+def status_text(faults: Column) -> Column:
+    """What the status line says; faults only if there were any."""
+    return F.concat(F.lit("Engine running"), F.when(faults > 0, F.format_string("  |  x-runs: %d", faults)).otherwise(F.lit("")))
+
+
 def meter_value(db: Column) -> Column:
     return F.greatest(F.lit(-60), F.least(F.lit(0), db.cast("int")))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwave.operators.numbering import numbered
+from pairwave.sources.shared import written
 
 #: What counts as an audio file.
 EXTENSIONS = (".aif", ".aiff", ".flac", ".mp3", ".ogg", ".wav")
@@ -23,12 +24,9 @@ def audio_files(files: DataFrame) -> DataFrame:
 
 
 def ordered(files: DataFrame) -> DataFrame:
-    """With ord, the place among all paths compared part by part. A bucket is all paths with the same first part."""
-    parts = files.withColumn("parts", F.split("path", "/"))
-    first = parts.select(F.col("parts")[0].alias("first")).distinct()
-    # a catalogue's top folders are few; their numbers come from a window over them alone
-    place = first.withColumn("bucket", F.row_number().over(Window.orderBy("first")))
-    return numbered(parts.withColumn("first", F.col("parts")[0]).join(F.broadcast(place), "first"), F.col("bucket"), ["parts"], "ord").drop("parts", "first", "bucket")
+    """With ord, the place among all paths compared part by part. Ranges of paths, written as a table, are numbered each by itself."""
+    ranges = files.withColumn("parts", F.split("path", "/")).repartitionByRange("parts").withColumn("range", F.spark_partition_id())
+    return numbered(written(ranges, "ranges"), F.col("range"), ["parts"], "ord").drop("parts", "range")
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:

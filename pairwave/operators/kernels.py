@@ -15,6 +15,21 @@ def convolve(x: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(h, n), n)[: len(x)]
 
 
+def convolve_many(xs: list[np.ndarray], h: np.ndarray) -> list[np.ndarray]:
+    """convolve() of many signals with one response: those of equal length go through one transform together."""
+    out: list[np.ndarray] = [np.zeros(0)] * len(xs)
+    for length in {len(x) for x in xs}:
+        same = [i for i, x in enumerate(xs) if len(x) == length]
+        n = 1 << max(0, length + len(h) - 2).bit_length()
+        if length and len(h):
+            made = np.fft.irfft(np.fft.rfft(np.stack([xs[i] for i in same]), n, axis=1) * np.fft.rfft(h, n), n, axis=1)[:, :length]
+        else:
+            made = np.zeros((len(same), length))
+        for i, y in zip(same, made, strict=True):
+            out[i] = y
+    return out
+
+
 def resample(x: np.ndarray, source: int, target: int, zeros: int = 16) -> np.ndarray:
     """x at another rate: ceil(n * up / down) samples by a Kaiser-windowed sinc. An output sample needs only the taps that meet input samples."""
     if source == target or not len(x):

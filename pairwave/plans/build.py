@@ -7,25 +7,35 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pairwave.config import BuildConfig
 from pairwave.operators import kernels, room
 from pairwave.operators.corpus import discover
+from pairwave.operators.numbering import numbered
 from pairwave.plans import dataset
+from pairwave.sources.shared import written
 from pairwave.sources.wav import WavSource, decoded
 
+log = logging.getLogger(__name__)
 
-def loaded(spark: SparkSession, files: DataFrame, rate: int) -> DataFrame:
-    """(ord, name, x, error): signals of a corpus at the target rate."""
-    content = spark.read.format("binaryFile").load([r.path for r in files.select("path").collect()]).select(F.regexp_replace("path", "^file:", "").alias("path"), "content")
+
+def loaded(spark: SparkSession, files: DataFrame, root: str, rate: int) -> DataFrame:
+    """(ord, name, x, error): signals of a corpus (the files found below root) at the target rate."""
+    root = os.path.abspath(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    hidden = [r.path for r in files.where(F.substring("path", len(root) + 1, 1 << 20).rlike("(^|/)[._]")).select("path").collect()]  # names that Spark passes over
+    if hidden:
+        found = found.unionByName(spark.read.format("binaryFile").load(hidden))
+    content = found.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content").join(files.select("path"), "path", "left_semi")
 
     def at_rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -100,8 +110,12 @@ def mixed_long(pairs: DataFrame, c: BuildConfig) -> DataFrame:
     return pairs.mapInPandas(run, with_fields(pairs.select(*keep), noisy="array<double>", clean="array<double>", error="string"))
 
 
-def build(spark: SparkSession, c: BuildConfig, workers: int = 8) -> dict:
-    """Write the audio files and metadata.json; returns the number of samples in each split."""
+def build(spark: SparkSession, c: BuildConfig, workers: int = 8, rir: str = "auto") -> dict:
+    """Write the audio files and metadata.json; returns the number of samples in each split.
+
+    rir: "file" takes room responses from files only, "synthetic" simulates them, "auto" takes files if there are two or more.
+    Rows made and rows in error are counted as they are written, and logged.
+    """
     if c.output_format != "wav":
         raise ValueError("only WAV can be written here")
     speech, noise = discover(spark, c.speech_dir), discover(spark, c.noise_dir)
@@ -110,20 +124,23 @@ def build(spark: SparkSession, c: BuildConfig, workers: int = 8) -> dict:
         raise FileNotFoundError(f"no audio files in {c.noise_dir if n_speech else c.speech_dir!r}")
     rirs = discover(spark, c.rir_dir).where("ext = '.wav'")
     n_rir = rirs.count() if c.rir_dir else 0
+    if rir == "file" and n_rir < 2:
+        raise FileNotFoundError(f"no two room responses in {c.rir_dir!r}")
+    n_rir = 0 if rir == "synthetic" else n_rir
     plan = dataset.split(dataset.draws(spark, c.total_samples, n_speech, n_noise, c, n_rir if n_rir >= 2 else 0), c)
-    s, n = loaded(spark, speech, c.target_sr), loaded(spark, noise, c.target_sr)
-    pairs = dataset.paired(plan, s, n).join(s.select(F.col("ord").alias("speech_ord"), F.col("error").alias("speech_error")), "speech_ord").join(n.select(F.col("ord").alias("noise_ord"), F.col("error").alias("noise_error")), "noise_ord")
-    pairs = pairs.repartition(workers, "global_idx")
+    pairs = dataset.paired(plan, loaded(spark, speech, c.speech_dir, c.target_sr), loaded(spark, noise, c.noise_dir, c.target_sr)).repartition(workers, "global_idx")
     if n_rir >= 2:
-        r = loaded(spark, rirs.withColumn("ord", F.row_number().over(_by_ord()) - 1), c.target_sr)
+        r = written(loaded(spark, numbered(rirs.withColumnRenamed("ord", "at"), F.floor(F.col("at") / dataset.BUCKET), ["at"], "ord"), c.rir_dir, c.target_sr), "responses")  # near and far read the same
         for which in ("near", "far"):
             pairs = pairs.join(r.select(F.col("ord").cast("long").alias(f"rir_{which}_ord"), F.col("x").alias(which), F.col("error").alias(f"{which}_error")), f"rir_{which}_ord")
         pairs = pairs.withColumn("room_error", F.coalesce("near_error", "far_error")).drop("near_error", "far_error")
     else:
         pairs = responses(pairs, c)
-    made = mixed_long(pairs, c)
+    progress = Observation("build")
+    made = mixed_long(pairs, c).observe(progress, F.count("*").alias("made"), F.count("error").alias("failed"))
     table = os.path.join(c.output_dir, "samples")
     made.write.mode("overwrite").parquet(table)
+    log.info("made %(made)d samples, of which %(failed)d failed", progress.get)
     good = dataset.local_index(spark.read.parquet(table).where("error is null"))
     spark.dataSource.register(WavSource)
     for kind in ("noisy", "clean"):
@@ -131,19 +148,18 @@ def build(spark: SparkSession, c: BuildConfig, workers: int = 8) -> dict:
         files.write.format("wav").mode("append").save(os.path.abspath(c.output_dir))
     rows = dataset.manifest(good, "file" if n_rir >= 2 else "synthetic")
     rows.write.mode("overwrite").parquet(os.path.join(c.output_dir, "manifest"))
-    splits = {r.split: {"count": r["count"], "samples": []} for r in dataset.split_counts(rows).collect()}
-    for r in rows.orderBy("index").toLocalIterator():
-        d = r.asDict()
-        splits[d.pop("split")]["samples"].append(d)
+    rows = spark.read.parquet(os.path.join(c.output_dir, "manifest"))
+    counts = {r.split: r["count"] for r in dataset.split_counts(rows).collect()}
     with open(os.path.join(c.output_dir, "metadata.json"), "w") as f:
-        json.dump({"config": c.as_dict(), "splits": {k: splits[k] for k in ("train", "val", "test")}}, f, indent=2, default=str)
-    return {k: v["count"] for k, v in splits.items()}
-
-
-def _by_ord():
-    from pyspark.sql import Window
-
-    return Window.orderBy("ord")  # a list of response files
+        f.write(f'{{"config": {json.dumps(c.as_dict(), default=str)}, "splits": {{')
+        for i, split in enumerate(("train", "val", "test")):
+            f.write(f'{", " * (i > 0)}"{split}": {{"count": {counts[split]}, "samples": [')
+            for j, r in enumerate(rows.where(F.col("split") == split).drop("split").orderBy("index").toLocalIterator()):  # one partition at a time
+                f.write("," * (j > 0) + "\n" + json.dumps(r.asDict()))
+            f.write("]}")
+        f.write("}}\n")
+    log.info("wrote %s", counts)
+    return counts
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -154,8 +170,11 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument(f"--{name}", type=int)
     for name in ("segment-duration", "snr-min", "snr-max", "train-ratio", "val-ratio", "test-ratio", "peak-norm-target"):
         p.add_argument(f"--{name}", type=float)
-    c = BuildConfig(**{k: v for k, v in vars(p.parse_args(argv)).items() if v is not None})
-    print(build(SparkSession.builder.appName("pairwave-build").getOrCreate(), c))
+    p.add_argument("--rir", choices=("auto", "file", "synthetic"), default="auto")
+    given = vars(p.parse_args(argv))
+    rir = given.pop("rir")
+    c = BuildConfig(**{k: v for k, v in given.items() if v is not None})
+    print(build(SparkSession.builder.appName("pairwave-build").getOrCreate(), c, rir=rir))
 
 
 if __name__ == "__main__":

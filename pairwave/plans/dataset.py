@@ -34,12 +34,12 @@ def draws(spark: SparkSession, total: int, n_speech: int, n_noise: int, c: Build
     return out
 
 
-def split(rows: DataFrame, c: BuildConfig, buckets: int = 64) -> DataFrame:
+def split(rows: DataFrame, c: BuildConfig) -> DataFrame:
     """rows (global_idx, u_split) with split: exactly as many of each as the ratios say, by rank of a uniform draw.
 
     Draws are spread evenly, so equal ranges of them make equal buckets.
     """
-    size = c.sizes()
+    size, buckets = c.sizes(), max(8, c.total_samples // BUCKET)
     ranked = numbered(rows, F.floor(F.col("u_split") * buckets), ["u_split", "global_idx"], "__rank")
     name = F.when(F.col("__rank") < size["train"], "train").when(F.col("__rank") < size["train"] + size["val"], "val").otherwise("test")
     return ranked.withColumn("split", name).drop("__rank")
@@ -57,10 +57,13 @@ def output_path(kind: str, fmt: str = "wav") -> Column:
 
 
 def paired(plan: DataFrame, speech: DataFrame, noise: DataFrame) -> DataFrame:
-    """plan with speech and noise: their signals and names, by position. Pools are (ord, name, x)."""
-    s = speech.select(F.col("ord").alias("speech_ord"), F.col("name").alias("speech_file"), F.col("x").alias("speech"))
-    n = noise.select(F.col("ord").alias("noise_ord"), F.col("name").alias("noise_file"), F.col("x").alias("noise"))
-    return plan.join(s, "speech_ord").join(n, "noise_ord")
+    """plan with speech and noise: their signals and names, by position. Pools are (ord, name, x), or also with error."""
+
+    def named(pool: DataFrame, kind: str) -> DataFrame:
+        error = [F.col("error").alias(f"{kind}_error")] if "error" in pool.columns else []
+        return pool.select(F.col("ord").alias(f"{kind}_ord"), F.col("name").alias(f"{kind}_file"), F.col("x").alias(kind), *error)
+
+    return plan.join(named(speech, "speech"), "speech_ord").join(named(noise, "noise"), "noise_ord")
 
 
 def mixed(pairs: DataFrame, length: int, near: Column, far: Column, target: float) -> DataFrame:

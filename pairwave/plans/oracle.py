@@ -89,7 +89,7 @@ def rooms() -> str:
     dims = ", ".join(f"{between(f'room_{a}', *r)} AS dim_{a}" for a, r in zip("xyz", C.room_dim_range, strict=True))
     mics = ", ".join(f"dim_{a} / 2 + {between(f'mic_{a}', -0.5, 0.5)} AS mic_{a}" for a in "xyz")
     across = ", ".join(f"dim_{a} * dim_{b} / sqrt(dim_{a} * dim_{a} + dim_{b} * dim_{b})" for a, b in ("xy", "xz", "yz"))
-    return f"""WITH d AS (SELECT i, {dims}, {between("rt60", *C.rt60_range)} AS rt60 FROM range({q.ROOMS}) t(i)),
+    return f"""WITH d AS (SELECT i, {dims}, {between("rt60", *C.rt60_range)} AS rt60 FROM range((SELECT count(*) FROM embeddings)) t(i)),
         r AS (SELECT *, {mics}, 24 * ln(10::DOUBLE) * (dim_x * dim_y * dim_z) / (343.0::DOUBLE * (2 * (dim_x * dim_y + dim_x * dim_z + dim_y * dim_z)) * rt60) AS absorption,
               ceil(343.0::DOUBLE * rt60 / least({across}) - 1)::BIGINT AS full_order FROM d)"""
 
@@ -122,6 +122,40 @@ CONTROL = f"""SELECT stream_id, seq, {six("coalesce(last_value(CASE WHEN kind =
 MANIFEST = f"""SELECT l.i::BIGINT AS index, l.split, speech_file, noise_file, round(snr_db, 2) + 0.0::DOUBLE AS snr_db, 'synthetic' AS rir_type, {path_of("noisy").replace("split", "l.split")} AS noisy_file, {path_of("clean").replace("split", "l.split")} AS clean_file
     FROM l JOIN z ON z.i = l.i"""
 
+DEVICE = "greatest(coalesce(floor(arg), -1), -1)::BIGINT"
+
+
+def held(command: str, value: str, first: str) -> str:
+    return f"coalesce(last_value(CASE WHEN command = '{command}' THEN {value} END IGNORE NULLS) OVER w, {first})"
+
+
+MONO = f"list_transform(range({q.BLOCK // q.CHANNELS_IN}), lambda f: x[{q.CHANNELS_IN} * f + 1])"
+LIVE = f"""WITH e0 AS (SELECT user_id AS stream_id, ts, event_id AS seq, event_type AS kind, (value - 50) / 200 AS value,
+        CASE WHEN event_type = 'signup' THEN 'SET_GAIN' WHEN event_type = 'click' THEN 'SET_STRENGTH' WHEN event_type = 'view' AND event_id % 4 = 0 THEN 'SET_ENABLED'
+             WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'SET_INPUT_DEVICE' WHEN event_type = 'purchase' AND event_id % 4 = 1 THEN 'SET_OUTPUT_DEVICE'
+             WHEN event_type = 'purchase' AND event_id % 4 = 2 THEN 'GET_DEVICES' WHEN event_type = 'purchase' AND event_id % 40 = 3 THEN 'SHUTDOWN' END AS command,
+        CASE WHEN event_type IN ('signup', 'click') AND event_id % 5 > 0 THEN value / 100 WHEN event_type = 'view' THEN floor(value)::BIGINT % 2 WHEN event_type = 'purchase' THEN floor(value)::BIGINT % 6 - 1 END::DOUBLE AS arg FROM events),
+    e AS (SELECT * FROM (SELECT *, coalesce(sum(CASE WHEN command = 'SHUTDOWN' THEN 1 ELSE 0 END) OVER w, 0) AS stopped FROM e0 WINDOW w AS (PARTITION BY stream_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE stopped = 0),
+    s AS (SELECT *, {held('SET_ENABLED', 'coalesce(arg, 0) <> 0', 'true')} AS enabled, {held('SET_STRENGTH', 'CASE WHEN arg IS NOT NULL THEN least(greatest(arg, 0.0::DOUBLE), 1.0::DOUBLE) END', '1.0::DOUBLE')} AS strength, {held('SET_GAIN', 'arg', '0.0::DOUBLE')} AS gain_db,
+                 {held('SET_INPUT_DEVICE', DEVICE, '-1')} AS input_device, {held('SET_OUTPUT_DEVICE', DEVICE, '-1')} AS output_device,
+                 sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS faults,
+                 ((row_number() OVER (PARTITION BY stream_id ORDER BY ts, seq) - 1) // {q.BLOCK})::BIGINT AS block_idx
+          FROM e WINDOW w AS (PARTITION BY stream_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    b AS (SELECT stream_id, block_idx, list(value ORDER BY ts, seq) AS x, {", ".join(f"arg_min({c}, (ts, seq)) AS {c}" for c in q.CONTROLS)}, max(faults)::BIGINT AS faults, max(ts) AS last_ts, arg_max(seq, (ts, seq)) AS seq
+          FROM s GROUP BY 1, 2 HAVING count(*) = {q.BLOCK}),
+    d AS (SELECT *, {MONO} AS dry FROM b),
+    n AS (SELECT *, CASE WHEN enabled THEN list_transform(dry, lambda v, p: (1 - strength) * v + strength * (v + CASE WHEN p > 1 THEN dry[p - 1] ELSE 0.0::DOUBLE END) / 2) ELSE dry END AS wet FROM d),
+    z0 AS (SELECT *, list_transform(wet, lambda v: least(greatest(v * pow(10::DOUBLE, gain_db / 20), -1::DOUBLE), 1::DOUBLE)) AS y, {peak("x")} AS in_peak FROM n),
+    z AS (SELECT *, {peak("y")} AS out_peak FROM z0),
+    k AS (SELECT stream_id, {HOUR.format("last_ts")} AS tick, unnest(arg_max(struct_pack(seq := seq, in_peak := in_peak, out_peak := out_peak, faults := faults), block_idx)) FROM z GROUP BY 1, 2)"""
+LIVE_COLUMNS = f"stream_id, block_idx, enabled, {six('strength')} AS strength, {six('gain_db')} AS gain_db, faults, {six('in_peak')} AS in_peak, {six('out_peak')} AS out_peak, {check(f'flatten(list_transform(y, lambda v: list_transform(range({q.CHANNELS_OUT}), lambda c: v)))')} AS checksum"
+PROBLEM = f"""CASE WHEN command IN ('SET_STRENGTH', 'SET_GAIN') AND arg IS NULL THEN command || ': not a number'
+    WHEN command IN ('SET_INPUT_DEVICE', 'SET_OUTPUT_DEVICE') AND arg >= 0 AND floor(arg)::BIGINT NOT IN ({", ".join(str(d[0]) for d in q.DEVICES)}) THEN command || ': no device ' || floor(arg)::BIGINT END"""
+ANSWERS = f"""a AS (SELECT stream_id, seq, command, {PROBLEM} AS problem FROM e),
+    answers AS (SELECT stream_id, seq, CASE WHEN problem IS NOT NULL THEN 'ERROR' WHEN command = 'GET_DEVICES' THEN 'DEVICE_LIST' ELSE 'ENGINE_STOPPED' END AS event,
+        coalesce(problem, CASE WHEN command = 'GET_DEVICES' THEN '{", ".join(d[1] for d in q.DEVICES)}' END) AS payload, NULL::DOUBLE AS input_db, NULL::DOUBLE AS output_db, NULL::BIGINT AS faults
+        FROM a WHERE problem IS NOT NULL OR command IN ('GET_DEVICES', 'SHUTDOWN'))"""
+
 SQL: dict[str, str] = {
     "corpus_discover": f"{FILES} SELECT path, ext, length FROM a",
     "corpus_order": f"{FILES} SELECT row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS ord, path FROM a",
@@ -131,8 +165,8 @@ SQL: dict[str, str] = {
         f"CASE WHEN m * {q.DOWN} + {len(q.TAPS) // 2} - j >= 0 AND (m * {q.DOWN} + {len(q.TAPS) // 2} - j) % {q.UP} = 0 AND m * {q.DOWN} + {len(q.TAPS) // 2} - j < len(x) * {q.UP} "
         f"THEN x[(m * {q.DOWN} + {len(q.TAPS) // 2} - j) // {q.UP} + 1] * {doubles(q.TAPS)}[j + 1] ELSE 0.0::DOUBLE END)))"
     ),
-    "signal_rms": f"{V} SELECT vec_id, {six(rms(f'x[1:{q.SEGMENT}]'))} AS rms FROM v",
-    "signal_peak": f"{V} SELECT vec_id, {six(peak(f'x[1:{q.SEGMENT}]'))} AS peak FROM v",
+    "signal_rms": f"{V} SELECT vec_id, {six(rms('list_transform(x, lambda e, p: e * p)'))} AS rms FROM v",
+    "signal_peak": f"{V} SELECT vec_id, {six(peak('x'))} AS peak FROM v",
     "segment_cut": of_vectors(segment("x", q.SEGMENT, u("soff", "vec_id"))),
     "segment_pad": of_vectors(segment("x", q.PADDED, u("soff", "vec_id"))),
     "convolve_array": of_vectors(convolved("x", q.NEAR)),
@@ -153,6 +187,7 @@ SQL: dict[str, str] = {
     "source_positions": f"{rooms()} SELECT i AS global_idx, {near_or_far('near', C.nearfield_dist, 0.3)}, {near_or_far('far', C.farfield_dist, 0.5)} FROM r",
     "mix_pipeline": f"{PAIRS}, {RANKED} SELECT l.i AS global_idx, split, local_idx, speech_file, noise_file, {six('snr_db')} AS snr_db, {check('list_transform(noisy, lambda e: e * scale)')} AS noisy_sum, {check('list_transform(s, lambda e: e * scale)')} AS clean_sum FROM l JOIN z ON z.i = l.i",
     "manifest_rows": f"{PAIRS}, {RANKED} {MANIFEST}",
+    "manifest_json": f"{PAIRS}, {RANKED}, j AS ({MANIFEST}) SELECT index, json_object('index', index, 'speech_file', speech_file, 'noise_file', noise_file, 'snr_db', snr_db, 'rir_type', rir_type, 'noisy_file', noisy_file, 'clean_file', clean_file)::VARCHAR AS json FROM j",
     "manifest_summary": f"WITH {RANKED} SELECT s AS split, (SELECT count(*) FROM l WHERE split = s) AS count FROM (SELECT unnest(['train', 'val', 'test']) AS s)",
     "pcm16": f"{V}, y AS (SELECT vec_id, list_transform(x, lambda e: round(least(greatest(e * 4, -1::DOUBLE), 1::DOUBLE) * 32767)::BIGINT) AS y FROM v) SELECT vec_id, list_sum(y)::BIGINT AS total, list_max(y) AS most FROM y",
     "wav_roundtrip": one_check(f"list_transform(x, lambda v: round({CLIP} * 32767) / 32768)", "48000::BIGINT AS sr,"),
@@ -160,7 +195,16 @@ SQL: dict[str, str] = {
     "wet_dry": f"{V}, w AS (SELECT vec_id, x, {convolved('x', q.FAR)} AS w FROM v) SELECT vec_id, {check(f'list_transform(range(len(x)), lambda a: {1 - q.STRENGTH}::DOUBLE * x[a + 1] + {q.STRENGTH}::DOUBLE * w[a + 1])')} AS checksum FROM w",
     "enabled_switch": one_check(f"CASE WHEN label % 2 = 0 THEN {convolved('x', q.FAR)} ELSE x END", "label % 2 = 0 AS enabled,"),
     "channel_fanout": of_vectors(f"flatten(list_transform(range(len(x) // 2), lambda f: [{FANNED}]))"),
-    "denoiser_udf": one_check("x"),
+    "denoiser_udf": one_check(f"list_transform(x, lambda e, p: {1 - q.STRENGTH}::DOUBLE * e + {q.STRENGTH}::DOUBLE * (e + CASE WHEN p > 1 THEN x[p - 1] ELSE 0.0::DOUBLE END) / 2)"),
+    "denoiser_passthrough": one_check("x"),
+    "channel_slice": of_vectors("flatten(list_transform(range(len(x) // 4), lambda f: x[4 * f + 1 : 4 * f + 3]))"),
+    "percent_label": "SELECT event_id, printf('%d %%', floor(value)::BIGINT % 101) AS label FROM events",
+    "status_text": f"{EVENTS} SELECT stream_id, seq, 'Engine running' || CASE WHEN n > 0 THEN '  |  x-runs: ' || n ELSE '' END AS text FROM (SELECT stream_id, seq, (sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))::BIGINT AS n FROM e)",
+    "control_state": f"{LIVE} SELECT stream_id, seq, enabled, {six('strength')} AS strength, {six('gain_db')} AS gain_db, input_device, output_device FROM s",
+    "live_blocks": f"{LIVE} SELECT {LIVE_COLUMNS}, input_device, output_device FROM z",
+    "stream_live": f"{LIVE} SELECT {LIVE_COLUMNS} FROM z",
+    "engine_events": f"{LIVE}, {ANSWERS} SELECT * FROM answers UNION ALL SELECT stream_id, seq, 'STATUS', NULL, {six(db('in_peak'))}, {six(db('out_peak'))}, faults FROM k",
+    "stream_answers": f"{LIVE}, {ANSWERS} SELECT stream_id, seq, event, payload FROM answers",
     "device_filter": devices(),
     "block_meter": f"{EVENTS} SELECT stream_id, block_idx, n, {six('peak')} AS peak, {six(db('peak'))} AS level_db FROM b",
     "status_last": f"{EVENTS} SELECT stream_id, {HOUR.format('last_ts')} AS tick, {six('arg_max(' + db('peak') + ', block_idx)')} AS level_db FROM b GROUP BY 1, 2",
@@ -171,5 +215,5 @@ SQL: dict[str, str] = {
     "gain_label": "WITH e AS (SELECT event_id, (floor(value)::BIGINT % 241 - 120) AS slider FROM events) SELECT event_id, slider, printf('%+.1f dB', slider / 10::DOUBLE) AS label FROM e",
     "stream_blocks": f"{EVENTS} SELECT stream_id, block_idx, {six('max(abs(value))')} AS peak, max(f)::BIGINT AS faults FROM (SELECT *, sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS f FROM e) GROUP BY 1, 2 HAVING count(*) = {q.BLOCK}",
     "stream_control": f"{EVENTS} {CONTROL}",
-    "stream_status": f"{EVENTS} SELECT stream_id, {HOUR.format('ts')} AS tick, {six('arg_max(value, (ts, seq))')} AS value FROM e GROUP BY 1, 2",
+    "stream_status": f"{LIVE} SELECT stream_id, tick, {six(db('in_peak'))} AS input_db, {six(db('out_peak'))} AS output_db, faults FROM k",
 }

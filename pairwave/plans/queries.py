@@ -17,11 +17,14 @@ from pairwave.operators import blocks, corpus, devices, kernels, room
 from pairwave.operators.numbering import numbered
 from pairwave.plans import dataset
 from pairwave.sources import wav
+from pairwave.sources.shared import written
 from pairwave.streaming import live
 
 CONFIG = BuildConfig()
-#: Samples of a segment, a padded segment and a block; room responses; the filter of a 3:2 resampling; rooms that are drawn.
-SEGMENT, PADDED, BLOCK, ROOMS = 48, 96, 16, 2_000
+#: Samples of a segment, a padded segment and a block; room responses; the filter of a 3:2 resampling.
+SEGMENT, PADDED, BLOCK = 48, 96, 16
+#: Channels of the live chain: of what comes in, taken from it, and going out.
+CHANNELS_IN, CHANNELS_TAKEN, CHANNELS_OUT = 2, 1, 2
 NEAR, FAR = (1.0, 0.5, 0.25), (0.0, 0.0, 0.6, 0.3)
 UP, DOWN, TAPS = 3, 2, (0.1, 0.4, 0.8, 1.0, 0.8, 0.4, 0.1)
 RESPONSES, GAIN_DB, STRENGTH, CHANNELS = 5, 6.0, 0.25, 5
@@ -55,7 +58,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pool(spark: SparkSession, sf_dir: str, speech: bool) -> DataFrame:
     """(ord, name, vec_id, x)"""
     rows = vectors(spark, sf_dir).where("label < 5" if speech else "label >= 5")
-    placed = numbered(rows, F.floor(F.col("vec_id") / dataset.BUCKET), ["vec_id"], "ord")
+    placed = numbered(rows.select("vec_id", "x"), F.floor(F.col("vec_id") / dataset.BUCKET), ["vec_id"], "ord")
     return placed.select("ord", F.format_string("%s/%06d.wav", F.lit("speech" if speech else "noise"), "vec_id").alias("name"), "vec_id", "x")
 
 
@@ -123,12 +126,14 @@ def resample_fir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def signal_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("vec_id", six(signal.rms(F.slice("x", 1, SEGMENT)), "rms"))
+    """Of whole vectors, rising: as they come, all have the same."""
+    rising = F.transform("x", lambda v, i: v * (i + 1))
+    return vectors(spark, sf_dir).select("vec_id", six(signal.rms(rising), "rms"))
 
 
 @query
 def signal_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("vec_id", six(signal.peak(F.slice("x", 1, SEGMENT)), "peak"))
+    return vectors(spark, sf_dir).select("vec_id", six(signal.peak(F.col("x")), "peak"))
 
 
 def segments(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
@@ -169,7 +174,7 @@ def fft_convolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(x=[kernels.convolve(np.asarray(x), h) for x in b["x"]])
+            yield b.assign(x=kernels.convolve_many([np.asarray(x) for x in b["x"]], h))
 
     y = vectors(spark, sf_dir).select("vec_id", "x").mapInPandas(run, "vec_id long, x array<double>")
     return y.select("vec_id", F.size("x").cast("long").alias("n"), check("x"))
@@ -240,32 +245,34 @@ def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(far).select("global_idx", "local_idx", dataset.output_path("noisy").alias("noisy_file"), dataset.output_path("clean").alias("clean_file"))
 
 
-def drawn_rooms(spark: SparkSession) -> DataFrame:
-    return room.rooms(spark.range(ROOMS).select(F.col("id").alias("global_idx")), CONFIG)
+def drawn_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many as there are vectors."""
+    n = table(spark, sf_dir, "embeddings").count()
+    return room.rooms(spark.range(n).select(F.col("id").alias("global_idx")), CONFIG)
 
 
 @query
 def room_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [f"{k}_{a}" for k in ("dim", "mic") for a in room.AXES]
-    return drawn_rooms(spark).select("global_idx", *(six(F.col(n), n) for n in [*names, "rt60"]))
+    return drawn_rooms(spark, sf_dir).select("global_idx", *(six(F.col(n), n) for n in [*names, "rt60"]))
 
 
 @query
 def inverse_sabine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawn_rooms(spark).select("global_idx", six(F.col("absorption"), "absorption"), "full_order", F.col("max_order").cast("long").alias("max_order"), "order_capped", "feasible")
+    return drawn_rooms(spark, sf_dir).select("global_idx", six(F.col("absorption"), "absorption"), "full_order", F.col("max_order").cast("long").alias("max_order"), "order_capped", "feasible")
 
 
 @query
 def source_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [f"{k}_{a}" for k in ("near", "far") for a in room.AXES]
-    return room.sources(drawn_rooms(spark), CONFIG).select("global_idx", *(six(F.col(n), n) for n in names))
+    return room.sources(drawn_rooms(spark, sf_dir), CONFIG).select("global_idx", *(six(F.col(n), n) for n in names))
 
 
 @query
 def ism_rir(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Room responses, near and far, of as many rooms as there are vectors: lengths and where the direct sound stands; null for
     rooms whose reverberation time no wall gives."""
-    placed = room.sources(room.rooms(planned(spark, sf_dir).select("global_idx"), CONFIG), CONFIG)
+    placed = room.sources(drawn_rooms(spark, sf_dir), CONFIG)
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,8 +292,9 @@ def ism_rir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = dataset.split(pairs(spark, sf_dir), BuildConfig(total_samples=table(spark, sf_dir, "embeddings").count()))
-    good = dataset.mixed(p, SEGMENT, array(NEAR), array(FAR), CONFIG.peak_norm_target).where("error is null")
-    return dataset.local_index(good)
+    spread = p.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "global_idx")  # little data, much work
+    made = written(dataset.mixed(spread, SEGMENT, array(NEAR), array(FAR), CONFIG.peak_norm_target), "mixed")
+    return dataset.local_index(made.where("error is null"))
 
 
 @query
@@ -358,9 +366,21 @@ def channel_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def denoiser_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plug-in that averages neighbours, blended with what came in."""
+    return denoise.denoised(vectors(spark, sf_dir).select("vec_id", "x"), denoise.Smoother, StreamConfig(strength=STRENGTH)).select("vec_id", check("x"))
+
+
+@query
+def denoiser_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return denoise.denoised(vectors(spark, sf_dir).select("vec_id", "x"), config=StreamConfig(strength=STRENGTH)).select("vec_id", check("x"))
 
 
+@query
+def channel_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = F.flatten(signal.first_channels(signal.frames_of(F.col("x"), 4), 3))
+    return vectors(spark, sf_dir).select("vec_id", y.alias("y")).select("vec_id", F.size("y").cast("long").alias("n"), check("y"))
+
+
 @query
 def device_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = devices.catalogued(spark.createDataFrame(DEVICES, devices.SCHEMA), DEFAULT_IN, DEFAULT_OUT)
@@ -413,9 +433,94 @@ def gain_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_levels(spark, sf_dir).select("event_id", tenths.alias("slider")).select("event_id", "slider", signal.gain_label(F.col("slider") / 10).alias("label"))
 
 
+@query
+def percent_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", signal.percent_label(F.floor("value") % 101).alias("label"))
+
+
+@query
+def status_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = blocks.faults(streams(table(spark, sf_dir, "events")))
+    return counted.select("stream_id", "seq", signal.status_text(F.col("faults")).alias("text"))
+
+
+def commands(events: DataFrame) -> DataFrame:
+    """Events as samples about zero, some of which bring a command: all seven, and arguments that some of them can't take."""
+    kind, turn, whole = F.col("event_type"), F.col("event_id") % 4, F.floor("value")
+    command = (
+        F.when(kind == "signup", "SET_GAIN")
+        .when(kind == "click", "SET_STRENGTH")
+        .when((kind == "view") & (turn == 0), "SET_ENABLED")
+        .when((kind == "purchase") & (turn == 0), "SET_INPUT_DEVICE")
+        .when((kind == "purchase") & (turn == 1), "SET_OUTPUT_DEVICE")
+        .when((kind == "purchase") & (turn == 2), "GET_DEVICES")
+        .when((kind == "purchase") & (F.col("event_id") % 40 == 3), "SHUTDOWN")
+    )
+    arg = (
+        F.when((kind == "signup") & (F.col("event_id") % 5 > 0), F.col("value") / 100)
+        .when((kind == "click") & (F.col("event_id") % 5 > 0), F.col("value") / 100)
+        .when(kind == "view", (whole % 2).cast("double"))
+        .when(kind == "purchase", (whole % 6 - 1).cast("double"))
+    )
+    return events.select(F.col("user_id").alias("stream_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), ((F.col("value") - 50) / 200).alias("value"), command.alias("command"), arg.alias("arg"))
+
+
+CONTROLS = ("enabled", "strength", "gain_db", "input_device", "output_device")
+
+
+@query
+def control_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All controls as each row finds them, until the stream is shut down."""
+    live = blocks.states(blocks.running(commands(table(spark, sf_dir, "events"))))
+    return live.select("stream_id", "seq", "enabled", six(F.col("strength"), "strength"), six(F.col("gain_db"), "gain_db"), "input_device", "output_device")
+
+
+def live_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.processed(commands(table(spark, sf_dir, "events")), BLOCK, CHANNELS_IN, CHANNELS_TAKEN, CHANNELS_OUT)
+
+
+@query
+def live_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole live chain on full blocks."""
+    return live_chain(spark, sf_dir).select(
+        "stream_id", "block_idx", "enabled", six(F.col("strength"), "strength"), six(F.col("gain_db"), "gain_db"), "input_device", "output_device", "faults", six(F.col("in_peak"), "in_peak"), six(F.col("out_peak"), "out_peak"), check(F.flatten("frames"))
+    )
+
+
+def known_devices(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(DEVICES, devices.SCHEMA)
+
+
+@query
+def engine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status at each tick, device lists, errors and ends, of all streams."""
+    found = blocks.events(commands(table(spark, sf_dir, "events")), live_chain(spark, sf_dir), known_devices(spark))
+    return found.select("stream_id", "seq", "event", "payload", six(F.col("input_db"), "input_db"), six(F.col("output_db"), "output_db"), "faults")
+
+
+def event_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.rows_from(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema)
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = table(spark, sf_dir, "events").schema
-    return streams(spark.readStream.schema(kind).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*"))
+    return streams(event_source(spark, sf_dir))
+
+
+def engine_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.engine(commands(event_source(spark, sf_dir)), BLOCK, CHANNELS_IN, CHANNELS_TAKEN, CHANNELS_OUT, [(d[0], d[1]) for d in DEVICES])
+
+
+@query
+def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chain as a stream."""
+    out = live.run_to_end(engine_stream(spark, sf_dir)).where("event = 'BLOCK'")
+    return out.select("stream_id", "block_idx", "enabled", six(F.col("strength"), "strength"), six(F.col("gain_db"), "gain_db"), "faults", six(F.col("in_peak"), "in_peak"), six(F.col("out_peak"), "out_peak"), check("samples"))
+
+
+@query
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream answers to commands."""
+    return live.run_to_end(engine_stream(spark, sf_dir)).where("event <> 'BLOCK'").select("stream_id", "seq", "event", "payload")
 
 
 @query
@@ -431,4 +536,7 @@ def stream_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.run_to_end(live.status(event_stream(spark, sf_dir)), "complete").select("stream_id", "tick", six(F.col("value"), "value"))
+    """A stream of blocks into a table, and from there a stream of the levels of each hour's last block."""
+    folder = live.landed(engine_stream(spark, sf_dir))
+    found = spark.readStream.schema(live.ENGINE).parquet(folder).where("event = 'BLOCK'")
+    return live.run_to_end(live.status(found), "complete").select("stream_id", "tick", six(F.col("input_db"), "input_db"), six(F.col("output_db"), "output_db"), "faults")

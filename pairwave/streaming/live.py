@@ -6,13 +6,21 @@ arrival. State is a few numbers a key and, for blocks, less than one block of sa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import threading
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
+from pairwave.config import StreamConfig
+from pairwave.functions.denoise import Denoiser, Smoother
+from pairwave.functions.signal import linear_to_db
 from pairwave.operators.blocks import FAULT, GAIN, STRENGTH, hour_of
 from pairwave.sources.shared import new_folder
 
@@ -64,21 +72,139 @@ def controlled(rows: DataFrame, gain_db: float = 0.0, strength: float = 1.0) ->
     return rows.groupBy("stream_id").applyInPandasWithState(control_rows(gain_db, strength), out, "gain_db double, strength double", "append", GroupStateTimeout.NoTimeout)
 
 
-def status(rows: DataFrame, late: str = "1 hour") -> DataFrame:
-    """(stream_id, tick, value): the last value of each event-time hour; state older than ``late`` goes."""
-    timed = rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    last = timed.groupBy(F.window("at", "1 hour"), "stream_id").agg(F.max_by("value", F.struct("ts", "seq")).alias("value"), F.max("ts").alias("__ts"))
-    return last.select("stream_id", hour_of(F.col("__ts")).alias("tick"), "value")
+ENGINE = "stream_id long, event string, block_idx long, seq long, last_ts timestamp_ntz, enabled boolean, strength double, gain_db double, faults long, in_peak double, out_peak double, payload string, samples array<double>"
+
+
+def engine_rows(size: int, channels_in: int, channels: int, channels_out: int, make: Callable[..., Denoiser], config: StreamConfig, names: list[tuple[int, str]]):
+    """State function of the whole chain: samples wait until a block is full, commands change the controls of the blocks that
+    begin after them, a command that can't be carried out gives an ERROR, and after SHUTDOWN nothing more is done."""
+    known, listed = {i for i, _ in names}, ", ".join(n for _, n in sorted(names))
+
+    def wrong(command: str | None, arg: float) -> str | None:
+        if command in ("SET_STRENGTH", "SET_GAIN") and arg != arg:
+            return f"{command}: not a number"
+        if command in ("SET_INPUT_DEVICE", "SET_OUTPUT_DEVICE") and arg >= 0 and int(arg) not in known:
+            return f"{command}: no device {int(arg)}"
+        return None
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, done, faults, enabled, strength, gain, at, stopped = state.get if state.exists else ([], 0, 0, config.enabled, config.strength, config.gain_db, None, False)
+        model, held, out = make(config.model_path, config.sample_rate, size), list(held), []
+        at = at or (enabled, strength, gain)  # the controls of the block that is being filled
+        rows = pd.concat([b for b in batches if len(b)]).sort_values(["ts", "seq"])
+        blank = (None,) * 3
+        for seq, ts, kind, value, command, arg in zip(rows["seq"], rows["ts"], rows["kind"], rows["value"], rows["command"], rows["arg"].astype(float), strict=True):
+            if stopped:
+                break
+            if not held:
+                at = (enabled, strength, gain)
+            held.append(float(value))
+            faults += kind == FAULT
+            if len(held) == size:
+                x = np.array(held).reshape(-1, channels_in)
+                y = dry = x[:, :channels].ravel()
+                if at[0]:
+                    y = (1 - at[1]) * dry + at[1] * model.process(dry)
+                y = np.clip(y * 10 ** (at[2] / 20), -1, 1)
+                wide = np.tile(y.reshape(-1, channels), -(-channels_out // channels))[:, :channels_out]
+                out.append((key[0], "BLOCK", done, seq, ts, *at, faults, float(np.abs(x).max()), float(np.abs(y).max()), None, wide.ravel().tolist()))
+                held, done = [], done + 1
+            error = wrong(command, arg)
+            if error or command in ("GET_DEVICES", "SHUTDOWN"):
+                event = "ERROR" if error else "DEVICE_LIST" if command == "GET_DEVICES" else "ENGINE_STOPPED"
+                out.append((key[0], event, None, seq, ts, *blank, faults, None, None, error or (listed if event == "DEVICE_LIST" else None), None))
+            if command == "SET_ENABLED":
+                enabled = arg == arg and arg != 0
+            elif command == "SET_STRENGTH" and not error:
+                strength = min(1.0, max(0.0, arg))
+            elif command == "SET_GAIN" and not error:
+                gain = arg
+            stopped = command == "SHUTDOWN"
+        state.update((held, int(done), int(faults), bool(enabled), float(strength), float(gain), tuple(at), bool(stopped)))
+        frame = pd.DataFrame(out, columns=[f.split()[0] for f in ENGINE.split(", ")])
+        yield frame.astype({"block_idx": "Int64", "enabled": "boolean", "faults": "Int64"})
+
+    return run
+
+
+def engine(rows: DataFrame, size: int, channels_in: int, channels: int, channels_out: int, names: list[tuple[int, str]], make: Callable[..., Denoiser] = Smoother, config: StreamConfig | None = None) -> DataFrame:
+    """The chain of operators.blocks.processed and its answers to commands as one stream: a BLOCK row for each full block, and ERROR,
+    DEVICE_LIST and ENGINE_STOPPED rows. STATUS comes from the blocks, by ``status``."""
+    kept = "held array<double>, done long, faults long, enabled boolean, strength double, gain_db double, at struct<enabled: boolean, strength: double, gain_db: double>, stopped boolean"
+    f = engine_rows(size, channels_in, channels, channels_out, make, config or StreamConfig(), names)
+    return rows.groupBy("stream_id").applyInPandasWithState(f, ENGINE, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def status(blocks_: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(stream_id, tick, input_db, output_db, faults) of BLOCK rows: the levels of the last block of each event-time hour; state older than ``late`` goes."""
+    timed = blocks_.withColumn("at", F.col("last_ts").cast("timestamp")).withWatermark("at", late)
+    last = timed.groupBy(F.window("at", "1 hour"), "stream_id").agg(F.max_by(F.struct("in_peak", "out_peak", "faults", "last_ts"), "block_idx").alias("s"))
+    return last.select("stream_id", hour_of(F.col("s.last_ts")).alias("tick"), linear_to_db(F.col("s.in_peak")).alias("input_db"), linear_to_db(F.col("s.out_peak")).alias("output_db"), F.col("s.faults").alias("faults"))
+
+
+def rows_from(spark: SparkSession, path: str, schema: StructType | str, files: int = 256) -> DataFrame:
+    """A stream of the parquet files of a folder, at most so many to a micro-batch: a reader that is behind falls further
+    behind, and nothing is dropped."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path)
+
+
+def landed(stream: DataFrame) -> str:
+    """The folder of what the stream gives, as rows to append, for all that is there now."""
+    out, log = new_folder(stream.sparkSession, "stream"), new_folder(stream.sparkSession, "stream-log")
+    stream.writeStream.option("checkpointLocation", log).trigger(availableNow=True).format("parquet").option("path", out).outputMode("append").start().awaitTermination()
+    return out
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What the stream gives for all that is there now, from a written table. In complete mode each micro-batch replaces the one before."""
     spark: SparkSession = stream.sparkSession
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(landed(stream))
     out, log = new_folder(spark, "stream"), new_folder(spark, "stream-log")
     writer = stream.writeStream.option("checkpointLocation", log).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).outputMode("append").start()
-    else:
-        query = writer.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
+    writer.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+class Handle:
+    """Runs a stream of events into a table and reads them from there."""
+
+    def __init__(self, stream: DataFrame, every: str = "50 milliseconds"):
+        self.stream, self.every, self.query, self.done, self.polled = stream, every, None, -1, -1
+        self.folder, self.log = new_folder(stream.sparkSession, "events"), new_folder(stream.sparkSession, "events-log")
+
+    def start(self) -> None:
+        """Does nothing while it runs; started again, it goes on where it stopped."""
+        if not self.alive:
+            land = lambda df, n: df.write.mode("overwrite").parquet(f"{self.folder}/batch={n}")  # noqa: E731  (a repeated batch replaces itself)
+            self.query = self.stream.writeStream.option("checkpointLocation", self.log).trigger(processingTime=self.every).foreachBatch(land).start()
+
+    def stop(self, seconds: float = 3.0) -> None:
+        """Lets what has come be worked on for so long, then ends the query."""
+        if self.alive:
+            waiter = threading.Thread(target=self.query.processAllAvailable, daemon=True)
+            waiter.start()
+            waiter.join(seconds)
+            self._seen()
+            self.query.stop()
+        self.query = None
+
+    def _seen(self) -> None:
+        """Take note of the last micro-batch that has ended."""
+        if self.query is not None and self.query.lastProgress is not None:
+            self.done = max(self.done, self.query.lastProgress["batchId"])
+
+    @property
+    def alive(self) -> bool:
+        return self.query is not None and self.query.isActive
+
+    def poll_events(self) -> list:
+        """The events of the micro-batches that ended since the last call."""
+        spark = self.stream.sparkSession
+        self._seen()
+        found = []
+        for n in range(self.polled + 1, self.done + 1):
+            with contextlib.suppress(AnalysisException):  # a batch without rows may have no folder
+                found += spark.read.schema(self.stream.schema).parquet(f"{self.folder}/batch={n}").collect()
+        self.polled = self.done
+        return found

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwave.config import BuildConfig
-from pairwave.functions import signal
-from pairwave.operators import corpus, kernels
+from pairwave.functions import denoise, signal
+from pairwave.operators import blocks, corpus, kernels
 from pairwave.plans import build, dataset
 from pairwave.sources import wav
+from pairwave.streaming import live
 
 
 def one(spark, column):
@@ -136,3 +137,91 @@ def test_room_responses_are_whole(spark, tmp_path):
         for source, n in (("near", "n"), ("far", "far_n")):
             dim, of, mic = ([r[f"{k}_{a}"] for a in "xyz"] for k in ("dim", source, "mic"))
             assert got[r.global_idx][n] == (len(kernels.impulse_response(dim, of, mic, r.absorption, r.max_order, 48_000)) if r.feasible else None)
+
+
+def test_nothing_gives_nothing(spark):
+    nothing = F.array().cast("array<double>")
+    assert one(spark, signal.frames_of(nothing, 2)) == one(spark, signal.resampled(nothing, 3, 2, [1.0])) == one(spark, signal.fanned_out(signal.frames_of(nothing, 2), 3)) == []
+    assert one(spark, signal.frames_of(xs(1, 2, 3), 2)) == [[1, 2]]
+
+
+@pytest.mark.parametrize("h", [[], [1.0], [1.0, 0.5, 0.25]])
+def test_convolution_of_many(h):
+    rng = np.random.default_rng(3)
+    signals = [rng.normal(size=n) for n in (5, 0, 7, 5, 1)]
+    for x, y in zip(signals, kernels.convolve_many(signals, np.array(h)), strict=True):
+        assert np.allclose(y, kernels.convolve(x, np.array(h)))
+
+
+def test_denoiser_plug_in(spark):
+    rows = spark.createDataFrame([(1, [1.0, 3.0]), (2, [])], "i long, x array<double>")
+    got = {r.i: r.x for r in denoise.denoised(rows, denoise.Smoother).collect()}
+    assert got == {1: [0.5, 2.0], 2: []}
+    same = denoise.denoised(rows)
+    assert "Python" not in same._jdf.queryExecution().executedPlan().toString() and same.collect() == rows.collect()
+
+
+def test_mixing_is_not_worked_out_for_the_filter(spark):
+    from pairwave.plans import queries
+
+    plan = queries.mix_pipeline(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.split("\n") if "Filter" in line]
+    assert filters and not any("aggregate(" in line for line in filters)
+
+
+COMMAND_ROWS = [
+    (1, 1, "view", 0.5, "SET_GAIN", 6.0), (1, 2, "error", -1.0, "SET_STRENGTH", None), (1, 3, "view", 0.25, "SET_INPUT_DEVICE", 9.0), (1, 4, "view", 0.5, "SET_ENABLED", 0.0),
+    (1, 5, "view", 0.5, "GET_DEVICES", None), (1, 6, "view", 0.5, "NO_SUCH", 1.0), (1, 7, "view", 0.5, "SHUTDOWN", None), (1, 8, "view", 0.5, None, None), (2, 9, "view", 0.1, None, None),
+]
+
+
+def command_rows(spark, rows=COMMAND_ROWS):
+    return spark.createDataFrame(rows, "stream_id long, seq long, kind string, value double, command string, arg double").withColumn("ts", F.timestamp_seconds("seq").cast("timestamp_ntz"))
+
+
+def test_live_chain(spark):
+    rows = command_rows(spark)
+    got = sorted(blocks.processed(rows, 2, 2, 1, 2).collect(), key=lambda r: (r.stream_id, r.block_idx))
+    assert [(r.block_idx, r.enabled, r.gain_db, r.faults, r.in_peak) for r in got] == [(0, True, 0.0, 1, 1.0), (1, True, 6.0, 1, 0.5), (2, False, 6.0, 1, 0.5)]  # the last sample and stream 2 fill no block
+    assert [f for r in got for f in r.frames] == [[0.25, 0.25], [pytest.approx(0.125 * 10**0.3)] * 2, [pytest.approx(0.5 * 10**0.3)] * 2]
+    devices_ = spark.createDataFrame([(1, "B"), (0, "A")], "index int, name string")
+    found = [(r.seq, r.event, r.payload) for r in sorted(blocks.events(rows, blocks.processed(rows, 2, 2, 1, 2), devices_).collect(), key=lambda r: (r.seq, r.event))]
+    assert found == [(2, "ERROR", "SET_STRENGTH: not a number"), (3, "ERROR", "SET_INPUT_DEVICE: no device 9"), (5, "DEVICE_LIST", "A, B"), (6, "STATUS", None), (7, "ENGINE_STOPPED", None)]
+
+
+def test_live_chain_over_micro_batches(spark, tmp_path):
+    """A handle on the stream, fed file by file: the same blocks and answers as at once, and nothing twice."""
+    folder, want = str(tmp_path / "in"), []
+    rows = command_rows(spark)
+    for part in (rows.where("seq <= 3"), rows.where("seq > 3 and seq <= 6")):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    h = live.Handle(live.engine(live.rows_from(spark, folder, rows.schema, files=1), 2, 2, 1, 2, [(1, "B"), (0, "A")]))
+    h.start()
+    h.start()
+    assert h.alive
+    h.query.processAllAvailable()
+    first = h.poll_events()
+    rows.where("seq > 6").coalesce(1).write.mode("append").parquet(folder)
+    h.query.processAllAvailable()
+    h.stop()
+    assert not h.alive and h.poll_events() is not None
+    second = [r for n in range(3) for r in spark.read.schema(live.ENGINE).parquet(f"{h.folder}/batch={n}").collect()]
+    want = [(0, "BLOCK", [0.25, 0.25]), (None, "ERROR", None), (None, "ERROR", None), (1, "BLOCK", [pytest.approx(0.125 * 10**0.3)] * 2), (None, "DEVICE_LIST", None), (2, "BLOCK", [pytest.approx(0.5 * 10**0.3)] * 2), (None, "ENGINE_STOPPED", None)]
+    assert [(r.block_idx, r.event, r.samples) for r in second] == want and len(first) == 6
+
+
+def test_labels(spark):
+    assert one(spark, signal.percent_label(F.lit(50))) == "50 %"
+    assert [one(spark, signal.status_text(F.lit(n))) for n in (0, 3)] == ["Engine running", "Engine running  |  x-runs: 3"]
+
+
+def test_build_from_the_command_line(spark, tmp_path, capsys):
+    for folder in ("speech/_u", "noise"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "0.wav").write_bytes(wav.encode(np.random.default_rng(1).uniform(-0.5, 0.5, 900), 8000))
+    where = [x for k in ("speech", "noise") for x in (f"--{k}-dir", str(tmp_path / k))] + ["--output-dir", str(tmp_path / "out")]
+    more = ["--total-samples", "5", "--target-sr", "8000", "--segment-duration", "0.1", "--rir", "synthetic"]
+    build.main([*where, *more])
+    assert "'train': 4" in capsys.readouterr().out
+    with pytest.raises(FileNotFoundError):
+        build.main([*where, *more[:-1], "file"])
