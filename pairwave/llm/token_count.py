@@ -6,9 +6,13 @@ the number of tokens emitted, which may be negative where a merge takes tokens b
 when first needed and kept. Texts are cut where the pre-tokenizer always starts anew (before a blank that a visible
 character follows), and counts of the parts met before are kept as well.
 
-A long text is cut into chunks of ``chunk`` characters, which become rows of their own. A chunk's state map says what it does
-to whatever precedes it: the text up to its first safe cut is left open, so is that after the last, and between them
-stands a number. Maps compose associatively; a document's maps are composed as a balanced tree.
+A long text is cut into chunks of about ``chunk`` characters, which become rows of their own. Each nominal cut moves to a place
+near it where a pre-token is sure to begin, as both neighbours see the same ``WINDOW`` characters on either side; where there is none, the cut
+stands in a long run of signs of one kind, which is one pre-token, and is open. A chunk's state map gives, for each state of the
+transducer that it may be entered in, the state that it is left in and the tokens emitted on the way. After a sure cut that is the
+first state alone; after an open one, it is those that any of the signs before the cut lead to, run in step and together from where they
+meet. Maps hold no text, compose associatively, and are composed as a balanced tree for each document, from the first state. A
+text whose composition meets a state that a map lacks is counted whole.
 
 Null texts count as empty: 0 bytes, 0 tokens. Repeated rows and doc_ids stay; other columns are ignored. The text of a
 special token counts as that token, as the tokenizers library does by default.
@@ -16,6 +20,7 @@ special token counts as that token, as the tokenizers library does by default.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,14 +30,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairwave.llm.common import written
+
 #: Fixed by the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space as the tokenizers library's patterns have it.
 SPACE = r"\p{White_Space}"
-CHUNK = 1 << 16
+CHUNK, WINDOW = 1 << 14, 64
+#: The map's name for the first state.
+FRESH = b""
 #: Parts whose counts, transducer states, and token pairs a worker keeps before it starts afresh.
 KEPT_PARTS, KEPT_STATES, KEPT_PAIRS = 3 << 17, 1 << 18, 1 << 18
 NEVER = 1 << 60
+KEYS = ("row", "doc_id", "n_bytes", "key", "no")
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,7 +83,8 @@ class Transducer:
                     self.token_at.append(-1)
                 node = self.trie[node][x]
             self.token_at[node] = i
-        self.cut = regex.compile(rf" (?=[^{SPACE}])")
+        self.kind = regex.compile(rf"(\p{{L}})|(\p{{N}})|({SPACE})|(.)", regex.S)
+        self.margin = max([1, *map(len, self.special)]) + 1
         self.pairs: dict[tuple[int, int], bool] = {}
         self.counts: dict[str, int] = {}
         self.word_counts: dict[str, int] = {}
@@ -210,28 +221,102 @@ class Transducer:
         parts = self.specials.split(text)
         return len(parts) - 1 + sum(map(self.plain, parts))
 
-    def state_map(self, chunk: str) -> tuple[str, int, str, bool]:
-        """(head, tokens, tail, cut): what a chunk does; without a safe cut it is all head."""
-        first = self.cut.search(chunk)
-        if first is None:
-            return chunk, 0, "", False
-        last = max(m.start() for m in self.cut.finditer(chunk, max(first.start(), chunk.rfind(" ", 0, max(1, len(chunk) - 4096)))))
-        return chunk[: first.start()], self.count(chunk[first.start() : last]), chunk[last:], True
+    def cut(self, window: str, middle: int) -> tuple[int, bool | None]:
+        """(where to cut a window of text, whether that is open); None if that can't be told. It is sure where a pre-token begins
+        whatever stands before the window, nearest to the middle first, and no special token is near."""
+        kinds = [m.lastindex for m in self.kind.finditer(window)]
+        letter, space, other = 1, 3, 4
+        near = [m.span() for m in self.specials.finditer(window)] if self.specials else []
+        low, high = self.margin, len(window) - self.margin if len(window) == 2 * middle else len(window) - 1
+
+        def sure(p: int) -> bool:
+            a, b = kinds[p - 1], kinds[p]
+            if any(s - 1 <= p <= e + 1 for s, e in near):
+                return False
+            if b == space:
+                return a != space or p + 1 < len(kinds) and kinds[p + 1] != space  # the last of some
+            if a == space:
+                return window[p - 1] != " " and kinds[p - 2] != space
+            if a == other and b == letter and window[p - 1] == "'":  # unless that is a contraction
+                return kinds[p - 2] == other or window[p - 2] == " "
+            return a != b
+
+        for d in range(max(middle - low, high - middle) + 1):
+            for p in (middle - d, middle + d):
+                if low <= p <= high and sure(p):
+                    return p, False
+        return middle, True if len(set(kinds[low - 1 : high + 1])) == 1 else None
+
+    def name(self, state: int) -> bytes:
+        """The same in all workers."""
+        return FRESH if state == 0 else hashlib.blake2b(repr(self.states[state]).encode(), digest_size=16).digest()
+
+    def through(self, entries: list[int], data: bytes) -> list[tuple[int, int]]:
+        """(exit state, tokens) for each entry state, over the same bytes. Those in one state go on as one."""
+        groups = {s: [(k, 0) for k, e in enumerate(entries) if e == s] for s in dict.fromkeys(entries)}
+        totals = dict.fromkeys(groups, 0)
+        for at, b in enumerate(data):
+            if len(groups) == 1:
+                state, total = next(iter(totals.items()))
+                members = groups[state]
+                for x in data[at:]:
+                    state, gain = self.next[state].get(x) or self.step(state, x)
+                    total += gain
+                groups, totals = {state: members}, {state: total}
+                break
+            after, sums = {}, {}
+            for s, members in groups.items():
+                t, gain = self.next[s].get(b) or self.step(s, b)
+                n = totals[s] + gain
+                if t in after:
+                    after[t] += [(k, off + n - sums[t]) for k, off in members]
+                else:
+                    after[t], sums[t] = members, n
+            groups, totals = after, sums
+        out = [(0, 0)] * len(entries)
+        for s, members in groups.items():
+            for k, off in members:
+                out[k] = s, totals[s] + off
+        return out
 
-    def compose(self, a: tuple, b: tuple) -> tuple[str, int, str, bool]:
+    def state_map(self, piece: str, before: int, after: int) -> dict[bytes, tuple[bytes, int]]:
+        """The map of a chunk, which begins about ``before`` characters into the piece and ends about ``after`` before its end (0: at an end
+        of the text). Empty if it can't be told."""
+        self.bound()
+        begin, is_open = self.cut(piece[: before + WINDOW], before) if before else (0, False)
+        end, goes_on = len(piece), False
+        if after:
+            at = len(piece) - after - WINDOW
+            end, goes_on = self.cut(piece[at:], WINDOW)
+            end += at
+        if is_open is None or goes_on is None:
+            return {}
+        parts = self.specials.split(piece[begin:end]) if self.specials else [piece[begin:end]]
+        lead = self.words.match(parts[0])[0] if is_open and parts[0] else ""
+        entries = list(dict.fromkeys(self.through([0], piece[begin - j : begin].encode())[0][0] for j in range(before - self.margin))) if is_open else [0]
+        ways = self.through(entries, lead.encode())
+        if goes_on and len(parts) == 1 and len(lead) == end - begin:  # one run from end to end
+            return {self.name(e): (self.name(x), n) for e, (x, n) in zip(entries, ways, strict=True)}
+        parts[0] = parts[0][len(lead) :]
+        left, n = FRESH, len(parts) - 1 + sum(map(self.plain, parts[:-1]))
+        if goes_on:
+            *words, tail = self.words.findall(parts[-1])
+            (state, more), = self.through([0], tail.encode())
+            left, n = self.name(state), n + more + sum(self.run(w.encode()) for w in words)
+        else:
+            n += self.plain(parts[-1])
+        return {self.name(e): (left, n + m) for e, (_, m) in zip(entries, ways, strict=True)}
+
+    @staticmethod
+    def compose(a: dict, b: dict) -> dict[bytes, tuple[bytes, int]]:
         """The map of chunk a and then chunk b."""
-        if not a[3]:
-            return a[0] + b[0], b[1], b[2], b[3]
-        if not b[3]:
-            return a[0], a[1], a[2] + b[0], True
-        return a[0], a[1] + self.count(a[2] + b[0]) + b[1], b[2], True
-
-    def scanned(self, maps: list[tuple]) -> int:
-        """Tokens of the whole text from its chunks' maps, composed as a tree."""
+        return {k: (b[e][0], n + b[e][1]) for k, (e, n) in a.items() if e in b}
+
+    def scanned(self, maps: list[dict]) -> int | None:
+        """Tokens of the whole text from its chunks' maps, composed as a tree; None if some map lacks a state."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, n, tail, cut = maps[0]
-        return self.count(head) + n + self.count(tail) if cut else self.count(head)
+        return maps[0].get(FRESH, (None, None))[1]
 
 
 @lru_cache(2)
@@ -240,7 +325,8 @@ def transducer(path: str) -> Transducer:
 
 
 def counted(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every row of docs (doc_id, text)."""
+    """doc_id, n_bytes, n_tokens, over_limit for every row of docs (doc_id, text). A text of one chunk has a map of one entry, its count."""
+    chunk = max(chunk, 4 * WINDOW)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,31 +335,39 @@ def counted(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHUNK) -
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 n = [t.count(x) for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64())], names=[part.schema.names[0], "n_bytes", "n_tokens"])
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
+        entry = pa.list_(pa.struct([("entry", pa.binary()), ("exit", pa.binary()), ("n", pa.int64())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
-                made = [t.state_map(x) for x in part.column("piece").to_pylist()]
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_())
-                columns = [pa.array(list(c), k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "n_bytes", "no")), *columns], names=["row", "doc_id", "n_bytes", "no", "head", "n", "tail", "cut"])
+                made = [t.state_map(*x) for x in zip(*(part.column(c).to_pylist() for c in ("piece", "before", "after")), strict=True)]
+                found = pa.array([[{"entry": k, "exit": e, "n": n} for k, (e, n) in m.items()] for m in made], entry)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in KEYS), found], names=[*KEYS, "map"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
         for batch in batches:
-            n = [t.scanned([(m["head"], m["n"], m["tail"], m["cut"]) for m in ms]) for ms in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            n = [t.scanned([{e["entry"]: (e["exit"], e["n"]) for e in m["map"]} for m in ms]) for ms in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "key", "n_tokens"])
 
     size = F.octet_length("text").cast("long").alias("n_bytes")
-    out = "doc_id long, n_bytes long, n_tokens long"
-    whole = rows.where(F.length("text") <= chunk).select("doc_id", size, "text").mapInArrow(short, out)
-    long = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
-    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))
-    pieces = long.select("row", "doc_id", size, "text", F.explode(starts).alias("no")).select("row", "doc_id", "n_bytes", "no", F.substring(F.col("text"), F.col("no") * chunk + 1, F.lit(chunk)).alias("piece"))
-    mapped = pieces.repartition("row", "no").mapInArrow(maps, "row long, doc_id long, n_bytes long, no int, head string, n long, tail string, cut boolean")
-    of_doc = mapped.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("no", "head", "n", "tail", "cut"))).alias("maps"))
-    joined = of_doc.select("doc_id", "n_bytes", "maps").mapInArrow(join, out)
-    return whole.unionByName(joined).withColumn("over_limit", F.col("n_tokens") > limit)
+    whole = rows.where(F.length("text") <= chunk).select("doc_id", size, "text").mapInArrow(short, "doc_id long, n_bytes long, n_tokens long")
+    n, key = F.length("text"), F.md5(F.col("text").cast("binary")).alias("key")
+    numbered = rows.where(n > chunk).withColumn("row", F.monotonically_increasing_id())
+    long = numbered.select("row", "doc_id", size, key, "text", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("no"))
+    begin, end = F.col("no") * chunk, F.least((F.col("no") + 1) * chunk, n)
+    before, after = F.least(begin, F.lit(WINDOW)), F.least(n - end, F.lit(WINDOW))
+    pieces = long.select(*KEYS, before.alias("before"), after.alias("after"), F.substring(F.col("text"), begin - before + 1, end + after - begin + before).alias("piece"))
+    mapped = pieces.repartition("row", "no").mapInArrow(maps, "row long, doc_id long, n_bytes long, key string, no int, map array<struct<entry: binary, exit: binary, n: long>>")
+    of_doc = mapped.groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc_id", "n_bytes", "key")), F.sort_array(F.collect_list(F.struct("no", "map"))).alias("maps"))
+    found = written(of_doc.select("doc_id", "n_bytes", "key", "maps").mapInArrow(join, "doc_id long, n_bytes long, key string, n_tokens long"), "token-counts")
+    done, open_ = found.where("n_tokens is not null"), found.where("n_tokens is null")
+    out = whole.unionByName(done.drop("key"))
+    if not open_.isEmpty():
+        texts = rows.where(n > chunk).select(key, size, "text").join(open_.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+        again = texts.mapInArrow(short, "key string, n_bytes long, n_tokens long").select("key", "n_tokens")
+        out = out.unionByName(open_.drop("n_tokens").join(again, "key").select("doc_id", "n_bytes", "n_tokens"))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -76,12 +76,51 @@ def test_token_counts_are_the_library_s(spark, docs):
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in OPS["tokens"](spark, docs).collect()) == want
 
 
-@pytest.mark.parametrize("size", [1, 7, 50, 1000])
-def test_chunk_maps_compose(size):
-    t = token_count.transducer(public_tokenizers.path("byte_bpe_50k.json"))
-    text = LONG[:3000] + "   \n\n  tail <|endoftext|>  "
-    chunks = [text[i : i + size] for i in range(0, len(text), size)]
-    assert t.scanned([t.state_map(c) for c in chunks]) == t.count(text)
+def hard_text(r, n):
+    """One of: a run of one sign, of two letters, of signs of a language without blanks, white space, contractions and special tokens, signs, words, digits."""
+    some = ["a", "ab", "日本語テキスト漢字", " ", " \n\t", ["'s", "'ll", " '", "''", "x's", "<|endoftext|>", "  <|endoftext|>", " a", "\n", "1", "!?", "\n\n"], "!?'<|>.,", "hello world'tis the 12 Tokenizer é \n", "0123456789", "é\u0301"]
+    return "".join(r.choice(r_) for r_ in [r.choice(some)] for _ in range(n))
+
+
+def chunk_maps(t, text, chunk):
+    w = token_count.WINDOW
+    ends = [(b, min(b + chunk, len(text))) for b in range(0, len(text), chunk)]
+    return [t.state_map(text[max(0, b - w) : e + w], min(b, w), min(len(text) - e, w)) for b, e in ends]
+
+
+@pytest.mark.parametrize("chunk", [256, 300, 511])
+def test_state_maps_compose(chunk):
+    path, r = public_tokenizers.path("byte_bpe_50k.json"), random.Random(chunk)
+    t, library, lacking = token_count.transducer(path), Tokenizer.from_file(path), 0
+    for _ in range(250):
+        text = "".join(hard_text(r, r.randrange(20, 1500)) for _ in range(r.randrange(1, 4)))
+        maps = chunk_maps(t, text, chunk)
+        n = t.scanned(maps)
+        lacking += n is None
+        assert n is None or n == len(library.encode(text, add_special_tokens=False).ids)
+        k = r.randrange(len(maps) + 1)
+        if 0 < k < len(maps):  # composed from the left, from the right, and as a tree: the same
+            left, right = maps[0], maps[-1]
+            for m in maps[1:]:
+                left = t.compose(left, m)
+            for m in maps[-2::-1]:
+                right = t.compose(m, right)
+            assert left == right and left.get(token_count.FRESH, (b"", None))[1] == n
+    assert lacking <= 3
+
+
+def test_chunks_as_rows(spark, monkeypatch):
+    """Texts without a blank, through small chunks, against the library; and the same where no map can be told."""
+    path, r = public_tokenizers.path("byte_bpe_50k.json"), random.Random(1)
+    library = Tokenizer.from_file(path)
+    texts = [hard_text(r, r.randrange(200, 4000)) for _ in range(25)] + ["a" * 5000] * 2 + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: (len((x or "").encode()), len(library.encode(x or "", add_special_tokens=False).ids)) for i, x in enumerate(texts)}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_count.counted(rows, path, chunk=1).collect()} == want
+    none = spark.createDataFrame([], "doc_id long, n_bytes long, key string, n_tokens long")
+    lost = lambda df, name: none.unionByName(df.withColumn("n_tokens", F.lit(None).cast("long"))) if name == "token-counts" else df
+    monkeypatch.setattr(token_count, "written", lost)
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_count.counted(rows, path, chunk=1).collect()} == want
 
 
 def test_pieces_are_the_library_s(spark, docs):
