@@ -337,6 +337,36 @@ def test_quality_scores_against_brute_force(spark):
     assert quality.judged(docs, marks.limit(0)).where("not base_failed and not kept").count() == 0
 
 
+def test_quality_against_plain_code(spark):
+    """Base figures, scores and verdicts from the raw texts by plain code."""
+    docs, marks = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10_000 + r[0], r[1]) for r in ROWS if r[0] is not None and r[1] != LONG]
+    buckets, signed = 1 << 10, lambda x: x - (1 << 64) if x >> 63 else x
+    good = {r.doc_id for r in quality.untoxic(marks).where("quality = 1").collect()}
+    base, found = {}, []
+    for d, text in rows:
+        t = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        often = {k for k, n in Counter(triples).items() if n > 1}
+        repeated = {i + j for i, k in enumerate(triples) if k in often for j in range(3)}
+        base[d] = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(repeated), len(words) < 50 or 100 * len(repeated) > 50 * len(words))
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+        pairs = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(h, h[1:], strict=False)]
+        found.append([signed(x) % buckets for x in h + pairs])
+    scores = dict(zip([d for d, _ in rows], quality.brute_score(found, [d in good for d, _ in rows], buckets), strict=True))
+    steps = sorted(int(np.floor(scores[d] / quality.STEP)) for d in good if base[d][0] >= 50)
+    least = steps[int(quality.SPARED * len(steps))] * quality.STEP  # the first of which more than the spared share lies at or below
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string"), quality.untoxic(marks), buckets=buckets).collect()}
+    for d, _ in rows:
+        r, s = got[d], scores[d]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base[d]
+        assert r.score == (s if s is None else pytest.approx(s, abs=1e-9))
+        if s is None or abs(s - least) > 1e-9:
+            assert r.kept == (not r.base_failed and s is not None and s >= least)
+
+
 def test_quality_verdicts_of_two_sizes_agree(spark):
     """Clean unlabelled documents of the smaller corpus, judged there and as a part of the larger one."""
     (small, small_labels), (large, large_labels) = ([spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels")] for sf in ("sf0.01", "sf0.1"))
@@ -365,6 +395,27 @@ def test_language_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
 
 
+@pytest.mark.parametrize("text", ["a", "Ab c", " 12 é--Straße\n", "日本 語", "x" * 40])
+def test_language_counts_against_plain_code(text):
+    marks = re.sub("  +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))
+    total = [0] * langid.SIZE
+    for n in (1, 2, 3):
+        for i in range(len(marks) - n + 1):
+            h = ord(marks[i]) * 2654435761
+            for c, m in zip(marks[i + 1 : i + n], (2246822519, 3266489917), strict=False):
+                h = h * 31 + ord(c) * m
+            total[(h & 0xFFFFFFFF) >> 20] += 1
+    assert np.allclose(langid.counts(text), np.log1p(total)) and langid.counts(" 12 ") is None
+
+
+def test_language_of_no_labels_and_ties(spark):
+    rows = [(i, t, None, None) for i, t in enumerate([None, "12", "Hello there"])]
+    got = langid.predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)} and len(got) == 3
+    model = {"langs": ["a", "b"], "centers": np.ones((2, langid.SIZE), np.float32) / 64, "reach": np.zeros(2), "idf": np.ones(langid.SIZE, np.float32)}
+    assert [r.lang_pred for r in langid.identified(spark.createDataFrame([(1, "so")], "doc_id long, text string"), model).collect()] == ["a"]
+
+
 def test_pieces_of_a_long_text_count_once(monkeypatch):
     text = "Ein  Satz, der\n12 Wörter hat -- und 日本語. " * 30
     whole = langid.counts(text)
@@ -491,3 +542,12 @@ def test_pipeline(spark, tmp_path):
     m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for r in out:
         assert "abcdefgh1234" not in m.decode(list(r.ids))
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    for name, rows in (("odd", ROWS), ("empty", [])):
+        spark.createDataFrame(rows, SCHEMA).withColumn("extra", F.lit(1)).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels(spark, ()).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        benchmark(spark).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/odd").count() == 0  # too short, or repeating itself
