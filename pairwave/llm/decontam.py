@@ -6,15 +6,15 @@ similarity of the two shingle multisets; the document is contaminated by the ite
 
 Windows get their SimHash from running sums of hash bits. A multi-index proposes the items: fingerprints are cut into
 ``BLOCKS`` blocks of 16 bits, and of two that differ in at most ``RADIUS`` bits some block differs in at most RADIUS // BLOCKS;
-for each block the index lists, by the block's value, the items within so many bits of it, so a window looks up one list a
-block and finds every item of its size within the radius. The exact similarity then decides. A pair just at a
+for each block the index lists items by group of sizes and value, their own and those a bit away, so it stays small; a window
+looks up the values that the other bits lead to, and finds every item of its size within the radius. The exact similarity then decides. A pair just at a
 similarity of 0.8 differs in about ten bits, and the radius is two standard deviations beyond; the README has the measured recall.
 
 Windows that can't reach any item of their size are skipped without loss: a window needs a certain number of shingles
 that stand in some item, whichever, and a membership test on shingle hashes counts them (a text without any is done).
 
-The index of ``block`` items at most goes to every task and is built once a worker; a larger benchmark is taken in blocks, each
-against all documents.
+The index of about ``block`` items and ``BLOCK_BYTES`` of text at most goes to every task and is built once a worker; a larger
+benchmark is taken in blocks, each against all documents.
 No document row is shuffled. Null texts and texts without a word hold nothing; items without a word are in nothing;
 repeated rows, doc_ids and items each give their own rows; null ids are carried. Of windows with equal similarity the first
 is given. Other columns are ignored.
@@ -33,11 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, SIMILARITY, RADIUS, BLOCK = 5, 0.8, 15, 5_000
+WIDTH, SIMILARITY, RADIUS, BLOCK, BLOCK_BYTES = 5, 0.8, 15, 20_000, 1 << 24
 BLOCKS = 4
+#: Differing bits of a block that the index spells out; a window's look-ups spell out the others.
+LISTED = 2
+#: Windows that are looked up at once.
+LOOKUPS = 512
 #: Windows whose running sums are held at once.
 STRETCH = 1 << 14
-FILTER = np.uint64((1 << 20) - 1)
 WORDS = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,6 +75,11 @@ def block_values(prints: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(prints).view(np.uint16).reshape(-1, BLOCKS)
 
 
+def flips(most: int) -> np.ndarray:
+    """All patterns of 16 bits with at most so many set."""
+    return np.array([sum(1 << b for b in some) for n in range(most + 1) for some in combinations(range(16), n)], np.uint16)
+
+
 class Index:
     """Benchmark items, by what finds them."""
 
@@ -84,46 +92,63 @@ class Index:
         self.k = np.array([min(len(x), WIDTH) for x in ids], int)
         parts = [shingles(x, int(k)) for x, k in zip(ids, self.k, strict=True)]
         self.size = np.array([len(p) for p in parts], int)
-        self.counted = [dict(zip(*(x.tolist() for x in np.unique(p, return_counts=True)), strict=True)) for p in parts]
+        self.counted = [np.unique(p, return_counts=True) for p in parts]
         self.print = np.array([packed(bits(p).sum(axis=0, keepdims=True))[0] for p in parts], np.uint64)
         #: by shingle width: the sizes of items, the hashes of all their shingles, and a filter for those
         self.sizes = {int(k): np.unique(self.size[self.k == k]) for k in np.unique(self.k)}
         self.hashes = {k: np.unique(np.concatenate([p for p, w in zip(parts, self.k, strict=True) if w == k])) for k in self.sizes}
         self.filter = {}
         for k, h in self.hashes.items():
-            self.filter[k] = np.zeros(int(FILTER) + 1, bool)
-            self.filter[k][(h & FILTER).astype(int)] = True
-        #: by block: where the list of each value begins, and the lists one after the other
-        own = block_values(self.print)
-        near = np.array([sum(1 << b for b in some) for n in range(RADIUS // BLOCKS + 1) for some in combinations(range(16), n)], np.uint16)
+            self.filter[k] = np.zeros(1 << min(25, max(20, (8 * len(h)).bit_length())), bool)
+            self.filter[k][self.slots(k, h)] = True
+        #: sizes of items in as many groups as keep the lists short
+        self.groups = 1 << min(6, max(0, (len(parts) >> 9).bit_length() - 1))
+        #: by block: where the list of each group and value begins, and the lists one after the other
+        own, listed, self.looked_up = block_values(self.print), flips(LISTED), flips(RADIUS // BLOCKS - LISTED)
         self.lists = []
         for b in range(BLOCKS):
-            values = (own[:, b, None] ^ near[None, :]).ravel()
-            order = np.argsort(values, kind="stable")
-            self.lists.append((np.searchsorted(values[order], np.arange((1 << 16) + 1)), (order // len(near)).astype(np.int32)))
+            keys = (self.group(self.size).astype(np.int32)[:, None] << 16 | own[:, b, None] ^ listed).ravel()
+            ends = np.cumsum(np.bincount(keys, minlength=self.groups << 16))
+            self.lists.append((np.r_[0, ends].astype(np.int32), (np.argsort(keys) // len(listed)).astype(np.int32)))
+
+    def slots(self, k: int, h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64(len(self.filter[k]) - 1)).astype(np.int64)
 
-    def proposed(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of all pairs that some block lets through, repeated if several do."""
-        values, windows, items = block_values(prints), [], []
+    def group(self, size):
+        return size & (self.groups - 1)
+
+    def proposed(self, prints: np.ndarray, group: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all pairs that some block lets through, in a group of sizes; repeated if found in several ways."""
+        own, windows, items = block_values(prints), [], []
         for b, (starts, listed) in enumerate(self.lists):
-            lo, n = starts[values[:, b]], starts[values[:, b].astype(int) + 1] - starts[values[:, b]]
-            w = np.repeat(np.arange(len(prints)), n)
-            windows.append(w)
-            items.append(listed[np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)])
+            values = (own[:, b, None] ^ self.looked_up).ravel() + np.int64(group << 16)
+            lo = starts[values]
+            n = starts[values + 1] - lo
+            some = np.flatnonzero(n)
+            lo, n = lo[some], n[some]
+            windows.append(np.repeat(some // len(self.looked_up), n))
+            items.append(listed[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)])
         return np.concatenate(windows), np.concatenate(items)
 
     def within(self, prints: np.ndarray, k: int, least: int, most: int) -> list[tuple[int, int]]:
         """(window, item) of all fingerprints within the radius, for items of least to most shingles of k words."""
-        w, i = self.proposed(prints)
-        ok = (np.bitwise_count(prints[w] ^ self.print[i]) <= RADIUS) & (self.k[i] == k) & (self.size[i] >= least) & (self.size[i] <= most)
-        return sorted(set(zip(w[ok].tolist(), i[ok].tolist(), strict=True)))
-
-
-def similarity(a: dict[int, int], window: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two shingle multisets."""
+        sizes, found = self.sizes[k], set()
+        for group in np.unique(self.group(sizes[(sizes >= least) & (sizes <= most)])).tolist():
+            for at in range(0, len(prints), LOOKUPS):
+                w, i = self.proposed(prints[at : at + LOOKUPS], group)
+                ok = np.flatnonzero(np.bitwise_count(prints[at + w] ^ self.print[i]) <= RADIUS)
+                w, i = at + w[ok], i[ok]
+                ok = (self.k[i] == k) & (self.size[i] >= least) & (self.size[i] <= most)
+                found.update(zip(w[ok].tolist(), i[ok].tolist(), strict=True))
+        return sorted(found)
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> float:
+    """Weighted Jaccard similarity of a multiset of shingles, as values and how often each is there, and those of a window."""
     values, n = np.unique(window, return_counts=True)
-    shared = sum(min(a.get(v, 0), c) for v, c in zip(values.tolist(), n.tolist(), strict=True))
-    return shared / (sum(a.values()) + len(window) - shared)
+    at = np.minimum(np.searchsorted(a[0], values), len(a[0]) - 1)
+    shared = int(np.minimum(a[1][at], n)[a[0][at] == values].sum())
+    return shared / (int(a[1].sum()) + len(window) - shared)
 
 
 def hits(index: Index, ids: np.ndarray) -> dict[int, np.ndarray]:
@@ -131,7 +156,7 @@ def hits(index: Index, ids: np.ndarray) -> dict[int, np.ndarray]:
     found = {}
     for k, known in index.hashes.items():
         h = shingles(ids, k)
-        at = np.flatnonzero(index.filter[k][(h & FILTER).astype(np.int64)])
+        at = np.flatnonzero(index.filter[k][index.slots(k, h)])
         at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
         if len(at):
             found[k] = at
@@ -180,9 +205,10 @@ def contamination(index: Index, ids: np.ndarray, least: float, spots: dict[int,
 
 
 def blocks_of(benchmark: DataFrame, block: int) -> Iterator:
-    """The benchmark in parts of about ``block`` items, each broadcast."""
+    """The benchmark in parts of about ``block`` items and BLOCK_BYTES of text at most, each broadcast."""
     items = benchmark.select("item_id", "text")
-    n = -(-items.count() // block)
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n = max(-(-size.n // block), -(-size.bytes // BLOCK_BYTES))
     for b in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else items
         yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])

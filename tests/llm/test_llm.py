@@ -291,20 +291,25 @@ def test_decontamination_recall(spark):
     assert len(set(zip(*(x.tolist() for x in index.proposed(other)), strict=True))) < 0.05 * 500 * len(items)
 
 
-def test_hamming_blocks_find_all_within_the_radius(spark):
-    r, index = np.random.default_rng(4), decontam.Index([(i, " ".join(f"w{i}x{j}" for j in range(9))) for i in range(50)])
-    prints = np.array([int(index.print[i]) ^ sum(1 << int(b) for b in r.choice(64, n, replace=False)) for i in range(50) for n in range(0, 18)], np.uint64)
+@pytest.mark.parametrize("n,groups", [(50, 1), (2_200, 4)])
+def test_hamming_blocks_find_all_within_the_radius(n, groups):
+    r, index = np.random.default_rng(4), decontam.Index([(i, " ".join(f"w{i}x{j}" for j in range(6 + i % 7))) for i in range(n)])
+    some = r.choice(n, 40, replace=False)
+    prints = np.array([int(index.print[i]) ^ sum(1 << int(b) for b in r.choice(64, k, replace=False)) for i in some for k in range(0, 18)], np.uint64)
     near = np.bitwise_count(prints[:, None] ^ index.print[None, :]) <= decontam.RADIUS
-    assert index.within(prints, 5, 1, 99) == [(int(w), int(i)) for w, i in np.argwhere(near)]
+    assert index.groups == groups and index.within(prints, 5, 1, 99) == [(int(w), int(i)) for w, i in np.argwhere(near)]
+    assert index.within(prints, 5, 4, 6) == [(int(w), int(i)) for w, i in np.argwhere(near & (index.size >= 4) & (index.size <= 6))]
 
 
-def test_benchmark_in_blocks(spark):
-    """More items than a block takes, each in one document."""
+def test_benchmark_in_blocks(spark, monkeypatch):
+    """More items, or more text, than a block takes, each in one document."""
     docs = spark.createDataFrame([(i, f"so {' '.join(f'w{i}x{j}' for j in range(12))} end") for i in range(60)], "doc_id long, text string")
     items = benchmark(spark, [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(60)])
     got = decontam.contaminated(docs, items, block=7).collect()
     assert sorted((r.doc_id, r.item_id, r.first_word, r.similarity) for r in got) == [(i, i, 1, 1.0) for i in range(60)]
     assert decontam.cleaned(docs, items.where("item_id < 50"), block=20).count() == 10
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1_000)
+    assert len(list(decontam.blocks_of(items, 5_000))) > 2 and decontam.cleaned(docs, items.where("item_id < 50")).count() == 10
 
 
 def test_documents_shorter_than_an_item(spark):
