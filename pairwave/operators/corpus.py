@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+import os
 
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwave.operators.numbering import numbered
-from pairwave.sources.shared import written
+from pairwave.sources.shared import file_system, located, written
 
 #: What counts as an audio file.
 EXTENSIONS = (".aif", ".aiff", ".flac", ".mp3", ".ogg", ".wav")
@@ -30,11 +31,16 @@ def ordered(files: DataFrame) -> DataFrame:
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(ord, path, ext, length) of the audio files below a folder that the driver sees; none if it isn't there.
+    """(ord, path, ext, length) of the audio files below a folder or URI; none if it isn't there.
 
     Listed on the driver, since Spark's file sources leave out names that begin with a dot or an underscore.
     """
-    top = Path(root)
-    found = sorted(p for p in top.rglob("*") if p.is_file() and p.suffix.lower() in EXTENSIONS) if root and top.exists() else []
-    rows = [(i, str(p), p.suffix.lower(), p.stat().st_size) for i, p in enumerate(found)]
+    rows = []
+    if root:
+        store, top = file_system(root)
+        there = store.get_file_info(top).type == FileType.Directory
+        files = [f for f in store.get_file_info(FileSelector(top, recursive=True)) if f.type == FileType.File] if there else []
+        named = sorted((f.path[len(top) :].strip("/").split("/"), f.size) for f in files)
+        kept = [(name, ext, size) for name, size in named if (ext := os.path.splitext(name[-1])[1].lower()) in EXTENSIONS]
+        rows = [(i, "/".join((located(root), *name)), ext, size) for i, (name, ext, size) in enumerate(kept)]
     return spark.createDataFrame(rows, "ord long, path string, ext string, length long")

@@ -6,14 +6,14 @@
 from __future__ import annotations
 
 import argparse
+import io
 import json
 import logging
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,20 +22,26 @@ from pairwave.operators import kernels, room
 from pairwave.operators.corpus import discover
 from pairwave.operators.numbering import numbered
 from pairwave.plans import dataset
-from pairwave.sources.shared import written
+from pairwave.sources.shared import file_system, located, written
 from pairwave.sources.wav import WavSource, decoded
 
 log = logging.getLogger(__name__)
 
 
+def plain(path: Column) -> Column:
+    """A path without scheme and first slashes, of which Spark and others write different numbers."""
+    return F.regexp_replace(path, "^([A-Za-z][A-Za-z0-9+.-]*:)?/+", "")
+
+
 def loaded(spark: SparkSession, files: DataFrame, root: str, rate: int) -> DataFrame:
-    """(ord, name, x, error): signals of a corpus (the files found below root) at the target rate."""
-    root = os.path.abspath(root)
+    """(ord, name, x, error): signals of a corpus (the files found below root) at the target rate. A file that Spark doesn't find gives an error."""
+    root, files = located(root), files.withColumn("key", plain(F.col("path")))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     hidden = [r.path for r in files.where(F.substring("path", len(root) + 1, 1 << 20).rlike("(^|/)[._]")).select("path").collect()]  # names that Spark passes over
     if hidden:
         found = found.unionByName(spark.read.format("binaryFile").load(hidden))
-    content = found.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content").join(files.select("path"), "path", "left_semi")
+    keyed = found.select(plain(F.col("path")).alias("path"), "content")
+    content = keyed.join(files.select(F.col("key").alias("path")), "path", "left_semi")
 
     def at_rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -43,7 +49,9 @@ def loaded(spark: SparkSession, files: DataFrame, root: str, rate: int) -> DataF
             yield pd.DataFrame({"path": b["path"], "x": x, "error": b["error"]})
 
     signals = decoded(content).mapInPandas(at_rate, "path string, x array<double>, error string")
-    return files.select("ord", "path").join(signals, "path").select("ord", F.col("path").alias("name"), "x", "error")
+    read = files.join(signals.withColumnRenamed("path", "key"), "key").select("ord", F.col("path").alias("name"), "x", "error")
+    lost = files.join(keyed.select(F.col("path").alias("key")), "key", "left_anti")
+    return read.unionByName(lost.select("ord", F.col("path").alias("name"), F.lit(None).cast("array<double>").alias("x"), F.lit("the file is listed and can't be found").alias("error")))
 
 
 def with_fields(rows: DataFrame, **more: str) -> StructType:
@@ -136,21 +144,22 @@ def build(spark: SparkSession, c: BuildConfig, workers: int = 8, rir: str = "aut
         pairs = pairs.withColumn("room_error", F.coalesce("near_error", "far_error")).drop("near_error", "far_error")
     else:
         pairs = responses(pairs, c)
-    progress = Observation("build")
+    progress, out = Observation("build"), located(c.output_dir)
     made = mixed_long(pairs, c).observe(progress, F.count("*").alias("made"), F.count("error").alias("failed"))
-    table = os.path.join(c.output_dir, "samples")
+    table = f"{out}/samples"
     made.write.mode("overwrite").parquet(table)
     log.info("made %(made)d samples, of which %(failed)d failed", progress.get)
     good = dataset.local_index(spark.read.parquet(table).where("error is null"))
     spark.dataSource.register(WavSource)
     for kind in ("noisy", "clean"):
         files = good.select(dataset.output_path(kind).alias("path"), F.lit(c.target_sr).alias("sr"), F.col(kind).alias("samples"))
-        files.write.format("wav").mode("append").save(os.path.abspath(c.output_dir))
+        files.write.format("wav").mode("append").save(out)
     rows = dataset.manifest(good, "file" if n_rir >= 2 else "synthetic")
-    rows.write.mode("overwrite").parquet(os.path.join(c.output_dir, "manifest"))
-    rows = spark.read.parquet(os.path.join(c.output_dir, "manifest"))
+    rows.write.mode("overwrite").parquet(f"{out}/manifest")
+    rows = spark.read.parquet(f"{out}/manifest")
     counts = {r.split: r["count"] for r in dataset.split_counts(rows).collect()}
-    with open(os.path.join(c.output_dir, "metadata.json"), "w") as f:
+    store, top = file_system(out)
+    with io.TextIOWrapper(store.open_output_stream(f"{top}/metadata.json"), "utf-8") as f:
         f.write(f'{{"config": {json.dumps(c.as_dict(), default=str)}, "splits": {{')
         for i, split in enumerate(("train", "val", "test")):
             f.write(f'{", " * (i > 0)}"{split}": {{"count": {counts[split]}, "samples": [')

@@ -1,13 +1,25 @@
-"""The folder that driver and executors share, and tables in it."""
+"""Files wherever pyarrow can reach them; the folder that driver and executors share, and tables in it."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+def located(path: str) -> str:
+    """A path that means the same everywhere: URIs as they are, local paths from the root."""
+    return path.rstrip("/") if ":/" in path else os.path.abspath(path)
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path below spark.checkpoint.dir; below one of our own only where none is set and all run on this machine."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

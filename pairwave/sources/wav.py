@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-import os
+import uuid
 import wave
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from pairwave.sources.shared import file_system
+
 
 class CodecUnavailable(ValueError):
     """The container needs a codec that isn't installed."""
@@ -72,13 +74,17 @@ class WavWriter(DataSourceWriter):
         self.folder = folder
 
     def write(self, rows: Iterator) -> Written:
-        n = 0
+        (store, top), n, made = file_system(self.folder), 0, set()
         for r in rows:
-            path = os.path.join(self.folder, r.path)
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(f"{path}.{os.getpid()}.part", "wb") as f:
+            path = f"{top}/{r.path}"
+            folder = path.rpartition("/")[0]
+            if folder not in made:
+                store.create_dir(folder, recursive=True)
+                made.add(folder)
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(part) as f:
                 f.write(encode(np.array(r.samples, float), r.sr))
-            os.replace(f.name, path)  # a repeated task leaves the same file
+            store.move(part, path)  # a repeated task leaves the same file
             n += 1
         return Written(n)
 
@@ -100,4 +106,4 @@ class WavSource(DataSource):
         return "path string, sr int, samples array<double>"
 
     def writer(self, schema, overwrite: bool) -> WavWriter:
-        return WavWriter(self.options["path"].removeprefix("file://"))
+        return WavWriter(self.options["path"])

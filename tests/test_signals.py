@@ -82,7 +82,9 @@ def test_discovery(spark, tmp_path):
         (tmp_path / name).write_bytes(b"")
     found = [r.path for r in corpus.discover(spark, str(tmp_path)).orderBy("ord").collect()]
     assert [p.removeprefix(f"{tmp_path}/") for p in found] == [".hid.wav", "_u/3.wav", "a/2.WAV", "a.x/1.wav"]
-    assert corpus.discover(spark, "").count() == corpus.discover(spark, str(tmp_path / "none")).count() == 0
+    uris = [r.path for r in corpus.discover(spark, f"file://{tmp_path}").orderBy("ord").collect()]
+    assert uris == [f"file://{p}" for p in found]
+    assert corpus.discover(spark, str(tmp_path / "n.txt")).count() == corpus.discover(spark, "").count() == corpus.discover(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_wav_round_trip():
@@ -215,7 +217,7 @@ def test_labels(spark):
     assert [one(spark, signal.status_text(F.lit(n))) for n in (0, 3)] == ["Engine running", "Engine running  |  x-runs: 3"]
 
 
-def test_build_from_the_command_line(spark, tmp_path, capsys):
+def test_build_from_the_command_line(spark, tmp_path, capsys, monkeypatch):
     for folder in ("speech/_u", "noise"):
         (tmp_path / folder).mkdir(parents=True)
         (tmp_path / folder / "0.wav").write_bytes(wav.encode(np.random.default_rng(1).uniform(-0.5, 0.5, 900), 8000))
@@ -223,5 +225,11 @@ def test_build_from_the_command_line(spark, tmp_path, capsys):
     more = ["--total-samples", "5", "--target-sr", "8000", "--segment-duration", "0.1", "--rir", "synthetic"]
     build.main([*where, *more])
     assert "'train': 4" in capsys.readouterr().out
+    monkeypatch.chdir(tmp_path)  # folders from here, and as URIs
+    for speech, noise, out in (("speech", "noise/", "near"), (f"file://{tmp_path}/speech", f"file:{tmp_path}/noise", f"file://{tmp_path}/far")):
+        build.main(["--speech-dir", speech, "--noise-dir", noise, "--output-dir", out, *more])
+        assert "'train': 4" in capsys.readouterr().out
+    names = [sorted(str(p.relative_to(tmp_path / d)) for p in (tmp_path / d).rglob("*") if p.suffix in (".wav", ".json")) for d in ("out", "near", "far")]
+    assert names[0] == names[1] == names[2] and len(names[0]) == 11
     with pytest.raises(FileNotFoundError):
         build.main([*where, *more[:-1], "file"])
