@@ -124,7 +124,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, bins: int = BINS, bits: in
     return rows.mapInArrow(run, rows.select("doc_id", F.lit("").alias("fingerprint")).schema)
 
 
-FIGURES = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+FIGURES = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def edited(docs: DataFrame, width: int = WIDTH, bins: int = BINS, bits: int = BITS) -> DataFrame:
@@ -132,7 +132,7 @@ def edited(docs: DataFrame, width: int = WIDTH, bins: int = BINS, bits: int = BI
 
     The edited text has its last half, rounded down, replaced by as many code points of the next document's beginning, or all.
     """
-    kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
+    kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.binary(), "fingerprint": pa.binary(), "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64()}
     ends = kinds | {"part": pa.int32(), "side": pa.string(), "text": pa.string()}
     of = lambda text, known: fingerprint(text, known, width, bins, bits)
     batch_of = lambda rows, kinds: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
@@ -141,7 +141,7 @@ def edited(docs: DataFrame, width: int = WIDTH, bins: int = BINS, bits: int = BI
         n = len(text)
         new = text[: n - n // 2] + after[: n // 2]
         fp_new = of(new, known)
-        return doc_id, n, hashlib.sha256(new.encode()).hexdigest(), fp.hex(), fp_new.hex(), likeness(fp, fp_new, bits), likeness(fp, fp_after, bits)
+        return doc_id, n, hashlib.sha256(new.encode()).digest(), fp, fp_new, likeness(fp, fp_new, bits), likeness(fp, fp_after, bits)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, known, before = TaskContext.get().partitionId(), Words(), None
@@ -171,4 +171,5 @@ def edited(docs: DataFrame, width: int = WIDTH, bins: int = BINS, bits: int = BI
     follows = found.where("side = 'first'").select("part", F.coalesce(F.lead("part").over(parts), F.min("part").over(every)).alias("next"))  # a row a task
     first = found.where("side = 'first'").select(F.col("part").alias("next"), F.col("text").alias("after"))
     rest = last.join(follows, "part").join(first, "next").select("doc_id", "text", "after").mapInArrow(join, FIGURES)
-    return found.where("side is null").select(*kinds).unionByName(rest)
+    every_row = found.where("side is null").select(*kinds).unionByName(rest)
+    return every_row.withColumns({c: F.lower(F.hex(c)) for c, kind in kinds.items() if kind == pa.binary()})  # hex digits only here: the table holds bytes
