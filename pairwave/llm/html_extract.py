@@ -13,8 +13,9 @@ Headings and short blocks are left open. In the second pass each open block inhe
 its region; between two at the same distance, a heading takes the one below and another block takes content. Where nothing
 is decided as content, the longest open blocks are. Without any decided neighbour an open block is content.
 
-A class or id sets nothing aside that holds the page's article or main, or its h1 or most of its prose if it has neither; an article
-or main is set aside by a whole class name only (``comment``, not ``share-enabled``), or one that begins with a word for comments.
+A class or id sets nothing aside that holds the page's article or main, or its h1 or most of its prose if it has neither. An article
+or main is set aside by a whole class name only (``comment``, not ``share-enabled``), or one that begins with a word for comments; a paragraph and whatever stands
+inside an article by these, or by a part that always means boilerplate (``related`` or ``ad-slot``, not ``related-work``); a heading by such a part only.
 
 Each page is worked on alone and in time that grows with its length, so a task holds one batch of pages and nothing is
 shuffled. A null html counts as empty and gives an empty text; repeated rows stay; url and page_id may be null; other
@@ -92,16 +93,16 @@ class Block:
         return self.linked > LINKS * len(self.text)
 
 
-def marked(attributes: str, whole: bool = False) -> tuple[str, bool]:
+def marked(attributes: str, whole: bool = False, article: bool = False) -> tuple[str, bool]:
     """What an element's class or id calls it, if that is boilerplate (always or weak), and whether its other attributes do, or hide it.
-    whole: only names that are boilerplate as a whole count, or that begin with a word for comments."""
+    whole: a part of a name counts only if it is always boilerplate (not for an article), or begins the name and means comments."""
     hint = ""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             for word in value.split():
                 parts = re.split("[_-]+", word)
-                found = {word} & HINTS | {parts[0]} & REMARKS if whole else HINTS.intersection(parts)
+                found = {word} & HINTS | {parts[0]} & REMARKS | (set() if article else ALWAYS.intersection(parts)) if whole else HINTS.intersection(parts)
                 if found:
                     hint = "always" if hint == "always" or found & ALWAYS or found & REMARKS else "weak"
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDING.search(value):
@@ -190,7 +191,8 @@ class Page:
             self.end_block()
             self.link, self.heading = False, not closes and name[0] == "h" and name[1:].isdigit()
             if name in LEAVES:
-                if not closes and name != "hr" and attributes and any(marked(attributes)):
+                hint, sure = marked(attributes, True) if attributes and not closes and name != "hr" else ("", False)
+                if sure or hint == "always" or hint and name == "p":
                     self.leaf = True
                 elif not closes and name == "h1" and self.plain and self.stack and not self.stack[-1][1]:
                     self.clear(self.stack[-1][3])
@@ -205,7 +207,7 @@ class Page:
     def enter(self, name: str, attributes: str) -> None:
         _, aside, region, around = self.stack[-1] if self.stack else ("", False, None, 0)
         article = name in ("article", "main")
-        hint, sure = marked(attributes, article) if attributes else ("", False)
+        hint, sure = marked(attributes, article or region is not None, article) if attributes else ("", False)
         if article and not aside:
             if not (hint or sure) and (name == "main" or not self.regions):
                 self.clear(around)
@@ -257,10 +259,16 @@ def density(text: str) -> float | None:
     return sum(w in STOP for w in words) / len(words)
 
 
+def noticed(b: Block) -> bool:
+    """A copyright line of some size: short, begun or ended by the notice, or not in running words."""
+    m = NOTICE.search(b.text) if len(b.text) <= LINE else None
+    return m is not None and (b.size < LONG or m.start() == 0 or m.end() >= len(b.text) - 1 or (density(b.text) or 0) < DENSITY)
+
+
 def first_pass(blocks: list[Block]) -> list[tuple[bool | None, str]]:
     """For each block (True: content, False: boilerplate, None: open; the rule that says so)."""
     found = [
-        (False, "markup") if b.aside else (False, "links") if b.links else (False, "notice") if not b.region and len(b.text) <= LINE and NOTICE.search(b.text) else (None, "heading") if b.heading else (None, "short") if b.size < LONG else (None, "long")
+        (False, "markup") if b.aside else (False, "links") if b.links else (False, "notice") if not b.region and noticed(b) else (None, "heading") if b.heading else (None, "short") if b.size < LONG else (None, "long")
         for b in blocks
     ]
     long = {i: density(blocks[i].text) for i, (_, rule) in enumerate(found) if rule == "long"}

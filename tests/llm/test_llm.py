@@ -511,6 +511,31 @@ def test_hints_round_the_article(name):
         assert html_extract.main_text(page) == html_extract.main_text(PAGE)
 
 
+PROSE = "It is said that the people of the town were at the river with all of their boats on the day of the flood, and that not one of them was lost."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article><h1 class="article-header">Told</h1><p>{0}</p></article>',
+        '<article><div class="content-header"><h1>Told</h1></div><p>{0}</p></article>',
+        '<article><h2 class="banner-title">Told</h2><p>{0}</p></article>',
+        '<article><p>{0}</p><p class="legal-text">Told</p><p>{0}</p></article>',
+        '<article><p>{0}</p><section id="related-work"><h2>Told</h2><p>{0}</p></section></article>',
+        '<div class="banner-wrap"><h2 class="banner-title">Told</h2><p>{0}</p></div>',
+        "<div><p>{0}</p><p>Told that all rights reserved by the treaty of the town were to be for the people who had been at the river on the day of it, she was not the one to say so.</p></div>",
+        '<article class="post subscribe-enabled"><h1>Told</h1><p>{0}</p></article>',
+    ],
+)
+def test_parts_of_articles_stay(page):
+    assert "Told" in html_extract.main_text(page.format(PROSE)) and PROSE in html_extract.main_text(page.format(PROSE))
+
+
+@pytest.mark.parametrize("page", ['<article><p>{0}</p><div class="ad-slot"><p>Not {0}</p></div></article>', '<article><p>{0}</p><div class="comment-list"><p>Not {0}</p></div></article>', '<article><p>{0}</p><div class="related"><p>Not {0}</p></div></article>', "<div><p>{0}</p></div><p>Copyright of the site is with the people of the town and it is for all who are in it. All rights reserved.</p>"])
+def test_boilerplate_in_articles_goes(page):
+    assert html_extract.main_text(page.format(PROSE)) == PROSE
+
+
 def test_warc_records(spark):
     big = "ü" * 700_000
     pages = spark.createDataFrame([(1, "u\n1", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None)], "page_id long, url string, html string")
