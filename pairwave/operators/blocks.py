@@ -66,17 +66,27 @@ def is_number(arg: Column) -> Column:
     return arg.isNotNull() & ~F.isnan(arg)
 
 
+def is_gain(arg: Column) -> Column:
+    return is_number(arg) & (F.abs(arg) < float("inf"))
+
+
+def device_of(arg: Column) -> Column:
+    """The device that a command's argument names; -1, the default one, for anything but a finite number from 0 on."""
+    named = is_number(arg) & (arg >= 0) & (arg < float(1 << 31))
+    return F.when(named, F.floor(F.when(named, arg))).otherwise(F.lit(-1)).cast("long")
+
+
 def states(rows: DataFrame) -> DataFrame:
     """rows with enabled, strength, gain_db, input_device and output_device (-1: the default one) as the commands before them left
-    them. A strength or gain that is no number changes nothing; a strength is clamped."""
+    them. A strength or gain that is no number (null or NaN), or an infinite gain, changes nothing; no number switches off; a strength is clamped."""
     before, arg = ordered_window().rowsBetween(Window.unboundedPreceding, -1), F.col("arg")
     last = lambda command, value: F.last(F.when(F.col("command") == command, value), ignorenulls=True).over(before)
-    device = F.greatest(F.coalesce(F.floor(arg), F.lit(-1)), F.lit(-1)).cast("long")
+    device = device_of(arg)
     return rows.withColumns(
         {
-            "enabled": F.coalesce(last("SET_ENABLED", F.coalesce(arg, F.lit(0.0)) != 0), F.lit(True)),
+            "enabled": F.coalesce(last("SET_ENABLED", F.when(is_number(arg), arg != 0).otherwise(False)), F.lit(True)),
             "strength": F.coalesce(last("SET_STRENGTH", F.when(is_number(arg), clamp(arg, 0.0, 1.0))), F.lit(1.0)),
-            "gain_db": F.coalesce(last("SET_GAIN", F.when(is_number(arg), arg)), F.lit(0.0)),
+            "gain_db": F.coalesce(last("SET_GAIN", F.when(is_gain(arg), arg)), F.lit(0.0)),
             "input_device": F.coalesce(last("SET_INPUT_DEVICE", device), F.lit(-1).cast("long")),
             "output_device": F.coalesce(last("SET_OUTPUT_DEVICE", device), F.lit(-1).cast("long")),
         }
@@ -116,11 +126,14 @@ def ticks(processed_: DataFrame) -> DataFrame:
 
 
 def problem(known: list[int]) -> Column:
-    """What is wrong with a row's command, or null: a strength or gain that is no number, a device that isn't there."""
+    """What is wrong with a row's command, or null: a strength or gain that is no number, an infinite gain, a device that isn't there."""
     command, arg = F.col("command"), F.col("arg")
-    device = F.floor(arg).cast("long")
-    return F.when(command.isin("SET_STRENGTH", "SET_GAIN") & ~is_number(arg), F.concat(command, F.lit(": not a number"))).when(
-        command.isin("SET_INPUT_DEVICE", "SET_OUTPUT_DEVICE") & (device >= 0) & ~device.isin(known), F.concat(command, F.lit(": no device "), device.cast("string"))
+    device = device_of(arg)
+    beyond = is_number(arg) & (arg >= float(1 << 31))
+    return (
+        F.when((command == "SET_STRENGTH") & ~is_number(arg) | (command == "SET_GAIN") & ~is_gain(arg), F.concat(command, F.lit(": not a number")))
+        .when(command.isin("SET_INPUT_DEVICE", "SET_OUTPUT_DEVICE") & beyond, F.concat(command, F.lit(": no such device")))
+        .when(command.isin("SET_INPUT_DEVICE", "SET_OUTPUT_DEVICE") & (device >= 0) & ~device.isin(known), F.concat(command, F.lit(": no device "), device.cast("string")))
     )
 
 

@@ -23,7 +23,7 @@ from pairwave.operators.corpus import discover
 from pairwave.operators.numbering import numbered
 from pairwave.plans import dataset
 from pairwave.sources.shared import file_system, located, written
-from pairwave.sources.wav import WavSource, decoded
+from pairwave.sources.wav import SUBTYPES, WavSource, decoded
 
 log = logging.getLogger(__name__)
 
@@ -126,6 +126,8 @@ def build(spark: SparkSession, c: BuildConfig, workers: int = 8, rir: str = "aut
     """
     if c.output_format != "wav":
         raise ValueError("only WAV can be written here")
+    if c.output_subtype not in SUBTYPES:
+        raise ValueError(f"{c.output_subtype!r}: only {' and '.join(SUBTYPES)} can be written here")
     speech, noise = discover(spark, c.speech_dir), discover(spark, c.noise_dir)
     n_speech, n_noise = speech.count(), noise.count()
     if not n_speech or not n_noise:
@@ -149,12 +151,14 @@ def build(spark: SparkSession, c: BuildConfig, workers: int = 8, rir: str = "aut
     table = f"{out}/samples"
     made.write.mode("overwrite").parquet(table)
     log.info("made %(made)d samples, of which %(failed)d failed", progress.get)
-    good = dataset.local_index(spark.read.parquet(table).where("error is null"))
+    audio = spark.read.parquet(table).where("error is null")
+    places = written(dataset.local_index(audio.select("global_idx", "split")).select("global_idx", "local_idx"), "places")  # numbers alone are shuffled and sorted
+    good = audio.drop("local_idx").join(places, "global_idx")
     spark.dataSource.register(WavSource)
     for kind in ("noisy", "clean"):
         files = good.select(dataset.output_path(kind).alias("path"), F.lit(c.target_sr).alias("sr"), F.col(kind).alias("samples"))
-        files.write.format("wav").mode("append").save(out)
-    rows = dataset.manifest(good, "file" if n_rir >= 2 else "synthetic")
+        files.write.format("wav").mode("append").option("subtype", c.output_subtype).save(out)
+    rows = dataset.manifest(good.drop("noisy", "clean"), "file" if n_rir >= 2 else "synthetic")
     rows.write.mode("overwrite").parquet(f"{out}/manifest")
     rows = spark.read.parquet(f"{out}/manifest")
     counts = {r.split: r["count"] for r in dataset.split_counts(rows).collect()}
@@ -173,7 +177,7 @@ def build(spark: SparkSession, c: BuildConfig, workers: int = 8, rir: str = "aut
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__.splitlines()[0])
-    for name in ("speech-dir", "noise-dir", "rir-dir", "output-dir", "output-format"):
+    for name in ("speech-dir", "noise-dir", "rir-dir", "output-dir", "output-format", "output-subtype"):
         p.add_argument(f"--{name}")
     for name in ("total-samples", "target-sr", "seed"):
         p.add_argument(f"--{name}", type=int)

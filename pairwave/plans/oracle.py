@@ -172,6 +172,7 @@ SQL: dict[str, str] = {
     "convolve_array": of_vectors(convolved("x", q.NEAR)),
     "convolve_join": of_vectors(convolved("x", q.NEAR)),
     "fft_convolve": of_vectors(convolved("x", q.NEAR)),
+    "convolve_chunked": of_vectors(convolved("x", q.NEAR)),
     "pair_sample": f"{PAIRS} SELECT i AS global_idx, speech_file, noise_file FROM p",
     "rir_pair": f"{PLAN} SELECT i AS global_idx, near_ord AS rir_near_ord, far_ord AS rir_far_ord, other_ord + CASE WHEN other_ord >= near_ord THEN 1 ELSE 0 END AS rir_far_distinct_ord FROM plan",
     "snr_gain": f"{PAIRS} SELECT i AS global_idx, {six('gain')} AS gain FROM g",
@@ -217,3 +218,8 @@ SQL: dict[str, str] = {
     "stream_control": f"{EVENTS} {CONTROL}",
     "stream_status": f"{LIVE} SELECT stream_id, tick, {six(db('in_peak'))} AS input_db, {six(db('out_peak'))} AS output_db, faults FROM k",
 }
+
+# The same of all events as one stream, and of signals in chunks.
+for scan, twin in (("scan_blocks", "block_meter"), ("scan_faults", "xrun_cumulative"), ("scan_control", "control_asof")):
+    SQL[scan] = SQL[twin].replace("user_id AS stream_id", "0::BIGINT AS stream_id").replace("PARTITION BY user_id ", "")
+SQL["resample_chunked"] = SQL["resample_fir"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pairwave.config import BuildConfig, StreamConfig
 from pairwave.functions import denoise, signal
 from pairwave.functions.rng import pick, uniform
-from pairwave.operators import blocks, corpus, devices, kernels, room
+from pairwave.operators import blocks, chunked, corpus, devices, kernels, long_streams, room
 from pairwave.operators.numbering import numbered
 from pairwave.plans import dataset
 from pairwave.sources import wav
@@ -27,6 +27,8 @@ SEGMENT, PADDED, BLOCK = 48, 96, 16
 CHANNELS_IN, CHANNELS_TAKEN, CHANNELS_OUT = 2, 1, 2
 NEAR, FAR = (1.0, 0.5, 0.25), (0.0, 0.0, 0.6, 0.3)
 UP, DOWN, TAPS = 3, 2, (0.1, 0.4, 0.8, 1.0, 0.8, 0.4, 0.1)
+#: Samples of a chunk of a long signal: no divisor of a vector's length.
+CHUNK = 10
 RESPONSES, GAIN_DB, STRENGTH, CHANNELS = 5, 6.0, 0.25, 5
 # Endings of the file names made of documents, by doc_id % 7; devices; sizes of builds.
 ENDINGS = (".wav", ".FLAC", ".mp3", ".txt", ".ogg", ".aif", ".bak")
@@ -180,6 +182,26 @@ def fft_convolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return y.select("vec_id", F.size("x").cast("long").alias("n"), check("x"))
 
 
+def whole_check(y: DataFrame) -> DataFrame:
+    """vec_id, n, checksum of signals in chunks (id, start, y): the sums of whole ones, without putting them together."""
+    part = F.aggregate(F.zip_with("y", F.sequence(F.lit(0), F.size("y") - 1), lambda v, i: v * (i + F.col("start") + 1)), F.lit(0.0), lambda a, v: a + v)
+    return y.groupBy(F.col("id").alias("vec_id")).agg(F.sum(F.size("y")).alias("n"), (F.round(F.sum(part), 6) + F.lit(0.0)).alias("checksum"))
+
+
+@query
+def convolve_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for signals in chunks, which may be longer than a row."""
+    rows = chunked.chunks(vectors(spark, sf_dir).withColumnRenamed("vec_id", "id"), CHUNK)
+    return whole_check(chunked.convolved(rows, np.array(NEAR), CHUNK))
+
+
+@query
+def resample_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """resample_fir for signals in chunks."""
+    rows = chunked.chunks(vectors(spark, sf_dir).withColumnRenamed("vec_id", "id"), CHUNK)
+    return whole_check(chunked.resampled(rows, UP, DOWN, np.array(TAPS), CHUNK))
+
+
 @query
 def pair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("global_idx", "speech_file", "noise_file")
@@ -412,6 +434,26 @@ def control_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.controlled(streams(table(spark, sf_dir, "events"))).select("stream_id", "seq", six(F.col("gain_db"), "gain_db"), six(F.col("strength"), "strength"))
 
 
+def one_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one stream, in ranges of time."""
+    return long_streams.in_ranges(streams(table(spark, sf_dir, "events")).withColumn("stream_id", F.lit(0).cast("long")))
+
+
+@query
+def scan_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_streams.blocks(one_stream(spark, sf_dir), BLOCK).select("stream_id", "block_idx", "n", six(F.col("peak"), "peak"), six(F.col("level_db"), "level_db"))
+
+
+@query
+def scan_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_streams.faults(one_stream(spark, sf_dir)).select("stream_id", "seq", "faults")
+
+
+@query
+def scan_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_streams.controlled(one_stream(spark, sf_dir)).select("stream_id", "seq", six(F.col("gain_db"), "gain_db"), six(F.col("strength"), "strength"))
+
+
 def event_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", signal.linear_to_db(F.col("value") / 1000).alias("db"), "value")
 

@@ -6,13 +6,13 @@ arrival. State is a few numbers a key and, for blocks, less than one block of sa
 
 from __future__ import annotations
 
-import contextlib
+import math
 import threading
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,7 +22,24 @@ from pairwave.config import StreamConfig
 from pairwave.functions.denoise import Denoiser, Smoother
 from pairwave.functions.signal import linear_to_db
 from pairwave.operators.blocks import FAULT, GAIN, STRENGTH, hour_of
-from pairwave.sources.shared import new_folder
+from pairwave.sources.shared import file_system, new_folder
+
+
+_models: dict[tuple, Denoiser] = {}
+
+
+def kept_model(make: Callable[..., Denoiser], *args) -> Denoiser:
+    """The denoiser of this worker: made when it is first needed, not again for each key and micro-batch."""
+    key = (make.__module__, make.__qualname__, *args)
+    if key not in _models:
+        _models[key] = make(*args)
+    return _models[key]
+
+
+def together(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    """A key's rows of a micro-batch in order; None without any."""
+    found = [b for b in batches if len(b)]
+    return pd.concat(found).sort_values(["ts", "seq"]) if found else None
 
 
 def block_rows(size: int):
@@ -30,8 +47,9 @@ def block_rows(size: int):
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, done, faults = state.get if state.exists else ([], 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        out, held = [], list(held)
+        rows, out, held = together(batches), [], list(held)
+        if rows is None:
+            return
         for value, kind in zip(rows["value"], rows["kind"], strict=True):
             held.append(abs(value))
             faults += kind == FAULT
@@ -54,7 +72,9 @@ def control_rows(gain_db: float, strength: float):
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         gain, amount = state.get if state.exists else (gain_db, strength)
-        rows, out = pd.concat(list(batches)).sort_values(["ts", "seq"]), []
+        rows, out = together(batches), []
+        if rows is None:
+            return
         for seq, kind, value in zip(rows["seq"], rows["kind"], rows["value"], strict=True):
             out.append((key[0], seq, gain, amount))
             if kind == GAIN:
@@ -77,21 +97,26 @@ ENGINE = "stream_id long, event string, block_idx long, seq long, last_ts timest
 
 def engine_rows(size: int, channels_in: int, channels: int, channels_out: int, make: Callable[..., Denoiser], config: StreamConfig, names: list[tuple[int, str]]):
     """State function of the whole chain: samples wait until a block is full, commands change the controls of the blocks that
-    begin after them, a command that can't be carried out gives an ERROR, and after SHUTDOWN nothing more is done."""
+    begin after them, a command that can't be carried out gives an ERROR, a block whose denoiser fails goes on as it came, with an
+    ERROR beside it, and after SHUTDOWN nothing more is done."""
     known, listed = {i for i, _ in names}, ", ".join(n for _, n in sorted(names))
 
     def wrong(command: str | None, arg: float) -> str | None:
-        if command in ("SET_STRENGTH", "SET_GAIN") and arg != arg:
+        if command == "SET_STRENGTH" and math.isnan(arg) or command == "SET_GAIN" and not math.isfinite(arg):
             return f"{command}: not a number"
+        if command in ("SET_INPUT_DEVICE", "SET_OUTPUT_DEVICE") and arg >= 1 << 31:
+            return f"{command}: no such device"
         if command in ("SET_INPUT_DEVICE", "SET_OUTPUT_DEVICE") and arg >= 0 and int(arg) not in known:
             return f"{command}: no device {int(arg)}"
         return None
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, done, faults, enabled, strength, gain, at, stopped = state.get if state.exists else ([], 0, 0, config.enabled, config.strength, config.gain_db, None, False)
-        model, held, out = make(config.model_path, config.sample_rate, size), list(held), []
+        model, held, out = kept_model(make, config.model_path, config.sample_rate, size), list(held), []
         at = at or (enabled, strength, gain)  # the controls of the block that is being filled
-        rows = pd.concat([b for b in batches if len(b)]).sort_values(["ts", "seq"])
+        rows = together(batches)
+        if rows is None:
+            return
         blank = (None,) * 3
         for seq, ts, kind, value, command, arg in zip(rows["seq"], rows["ts"], rows["kind"], rows["value"], rows["command"], rows["arg"].astype(float), strict=True):
             if stopped:
@@ -104,7 +129,10 @@ def engine_rows(size: int, channels_in: int, channels: int, channels_out: int, m
                 x = np.array(held).reshape(-1, channels_in)
                 y = dry = x[:, :channels].ravel()
                 if at[0]:
-                    y = (1 - at[1]) * dry + at[1] * model.process(dry)
+                    try:
+                        y = (1 - at[1]) * dry + at[1] * model.process(dry)
+                    except Exception as e:  # a plug-in's failure costs its block, not the stream
+                        out.append((key[0], "ERROR", done, seq, ts, *blank, faults, None, None, f"denoiser: {type(e).__name__}: {e}", None))
                 y = np.clip(y * 10 ** (at[2] / 20), -1, 1)
                 wide = np.tile(y.reshape(-1, channels), -(-channels_out // channels))[:, :channels_out]
                 out.append((key[0], "BLOCK", done, seq, ts, *at, faults, float(np.abs(x).max()), float(np.abs(y).max()), None, wide.ravel().tolist()))
@@ -190,21 +218,22 @@ class Handle:
         self.query = None
 
     def _seen(self) -> None:
-        """Take note of the last micro-batch that has ended."""
-        if self.query is not None and self.query.lastProgress is not None:
-            self.done = max(self.done, self.query.lastProgress["batchId"])
+        """Take note of the micro-batches that have ended: those that the query's log has as committed."""
+        store, top = file_system(f"{self.log}/commits")
+        found = store.get_file_info(fs.FileSelector(top, allow_not_found=True))
+        self.done = max([self.done, *(int(f.base_name) for f in found if f.base_name.isdigit())])
 
     @property
     def alive(self) -> bool:
         return self.query is not None and self.query.isActive
 
     def poll_events(self) -> list:
-        """The events of the micro-batches that ended since the last call."""
+        """The events of the micro-batches that ended since the last call; processed samples stay in the table."""
         spark = self.stream.sparkSession
         self._seen()
         found = []
         for n in range(self.polled + 1, self.done + 1):
-            with contextlib.suppress(AnalysisException):  # a batch without rows may have no folder
-                found += spark.read.schema(self.stream.schema).parquet(f"{self.folder}/batch={n}").collect()
+            rows = spark.read.schema(self.stream.schema).parquet(f"{self.folder}/batch={n}")  # written before the batch was committed
+            found += (rows.where("event <> 'BLOCK'") if "event" in rows.columns else rows).collect()
         self.polled = self.done
         return found

@@ -206,10 +206,11 @@ def test_live_chain_over_micro_batches(spark, tmp_path):
     rows.where("seq > 6").coalesce(1).write.mode("append").parquet(folder)
     h.query.processAllAvailable()
     h.stop()
-    assert not h.alive and h.poll_events() is not None
+    assert not h.alive and [(r.event, r.payload) for r in h.poll_events()] == [("ENGINE_STOPPED", None)] and h.poll_events() == []
     second = [r for n in range(3) for r in spark.read.schema(live.ENGINE).parquet(f"{h.folder}/batch={n}").collect()]
     want = [(0, "BLOCK", [0.25, 0.25]), (None, "ERROR", None), (None, "ERROR", None), (1, "BLOCK", [pytest.approx(0.125 * 10**0.3)] * 2), (None, "DEVICE_LIST", None), (2, "BLOCK", [pytest.approx(0.5 * 10**0.3)] * 2), (None, "ENGINE_STOPPED", None)]
-    assert [(r.block_idx, r.event, r.samples) for r in second] == want and len(first) == 6
+    assert [(r.block_idx, r.event, r.samples) for r in second] == want
+    assert [r.event for r in first] == ["ERROR", "ERROR", "DEVICE_LIST"]
 
 
 def test_labels(spark):
