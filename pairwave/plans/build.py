@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pairwave.config import BuildConfig
-from pairwave.operators import kernels, room
+from pairwave.operators import kernels, room, visiting
 from pairwave.operators.corpus import discover
 from pairwave.operators.numbering import numbered
 from pairwave.plans import dataset
@@ -118,6 +118,13 @@ def mixed_long(pairs: DataFrame, c: BuildConfig) -> DataFrame:
     return pairs.mapInPandas(run, with_fields(pairs.select(*keep), noisy="array<double>", clean="array<double>", error="string"))
 
 
+def cut(plan: DataFrame, files: DataFrame, kind: str, c: BuildConfig) -> DataFrame:
+    """(global_idx, and the kind's file, samples and error): the segments that a plan draws of a corpus, cut where its files are."""
+    named = files.select(F.col("ord").alias(f"{kind}_ord"), F.col("path"))
+    drawn = plan.join(named, f"{kind}_ord").select("global_idx", "path", F.col(f"u_{kind}").alias("u"))
+    return visiting.segments(drawn, "", c.target_sr, c.segment_samples).select("global_idx", F.col("path").alias(f"{kind}_file"), F.col("x").alias(kind), F.col("error").alias(f"{kind}_error"))
+
+
 def build(spark: SparkSession, c: BuildConfig, workers: int = 8, rir: str = "auto") -> dict:
     """Write the audio files and metadata.json; returns the number of samples in each split.
 
@@ -138,7 +145,8 @@ def build(spark: SparkSession, c: BuildConfig, workers: int = 8, rir: str = "aut
         raise FileNotFoundError(f"no two room responses in {c.rir_dir!r}")
     n_rir = 0 if rir == "synthetic" else n_rir
     plan = dataset.split(dataset.draws(spark, c.total_samples, n_speech, n_noise, c, n_rir if n_rir >= 2 else 0), c)
-    pairs = dataset.paired(plan, loaded(spark, speech, c.speech_dir, c.target_sr), loaded(spark, noise, c.noise_dir, c.target_sr)).repartition(workers, "global_idx")
+    plan = written(plan, "draws")
+    pairs = plan.join(cut(plan, speech, "speech", c), "global_idx").join(cut(plan, noise, "noise", c), "global_idx").repartition(workers, "global_idx")
     if n_rir >= 2:
         r = written(loaded(spark, numbered(rirs.withColumnRenamed("ord", "at"), F.floor(F.col("at") / dataset.BUCKET), ["at"], "ord"), c.rir_dir, c.target_sr), "responses")  # near and far read the same
         for which in ("near", "far"):

@@ -174,6 +174,8 @@ SQL: dict[str, str] = {
     "fft_convolve": of_vectors(convolved("x", q.NEAR)),
     "convolve_chunked": of_vectors(convolved("x", q.NEAR)),
     "pair_sample": f"{PAIRS} SELECT i AS global_idx, speech_file, noise_file FROM p",
+    "visit_pairs": f"{PAIRS} SELECT i AS global_idx, speech_file, noise_file, {check('s0')} AS speech_sum, {check('n0')} AS noise_sum FROM p",
+    "wav_source": one_check("x", f"{C.target_sr}::BIGINT AS sr, len(y)::BIGINT AS frames,"),
     "rir_pair": f"{PLAN} SELECT i AS global_idx, near_ord AS rir_near_ord, far_ord AS rir_far_ord, other_ord + CASE WHEN other_ord >= near_ord THEN 1 ELSE 0 END AS rir_far_distinct_ord FROM plan",
     "snr_gain": f"{PAIRS} SELECT i AS global_idx, {six('gain')} AS gain FROM g",
     "mix_snr": f"{PAIRS} SELECT i AS global_idx, {check('noisy')} AS noisy_sum, {check('s')} AS clean_sum FROM m",

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pairwave.config import BuildConfig, StreamConfig
 from pairwave.functions import denoise, signal
 from pairwave.functions.rng import pick, uniform
-from pairwave.operators import blocks, chunked, corpus, devices, kernels, long_streams, room
+from pairwave.operators import blocks, chunked, corpus, devices, kernels, long_streams, room, visiting
 from pairwave.operators.numbering import numbered
 from pairwave.plans import dataset
 from pairwave.sources import wav
-from pairwave.sources.shared import written
+from pairwave.sources.shared import new_folder, written
 from pairwave.streaming import live
 
 CONFIG = BuildConfig()
@@ -207,6 +207,35 @@ def pair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("global_idx", "speech_file", "noise_file")
 
 
+def vector_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The vectors as a tree of float WAV files; its folder, and the pools as (ord, speech, name)."""
+    spark.dataSource.register(wav.WavSource)
+    folder, speech = new_folder(spark, "vectors"), F.col("label") < 5
+    name = F.format_string("%s/%06d.wav", F.when(speech, "speech").otherwise("noise"), "vec_id")
+    rows = vectors(spark, sf_dir).select("vec_id", speech.alias("speech"), name.alias("name"), "x")
+    rows.select(F.col("name").alias("path"), F.lit(CONFIG.target_sr).alias("sr"), F.col("x").alias("samples")).write.format("wav").mode("append").option("subtype", "FLOAT").save(folder)
+    return folder, numbered(rows.select("vec_id", "speech", "name"), F.floor(F.col("vec_id") / dataset.BUCKET), ["vec_id"], "ord", ("speech",)).select("ord", "speech", "name")
+
+
+@query
+def wav_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector from the files of a folder, listed and read by the tasks."""
+    read = spark.read.format("wav").load(vector_files(spark, sf_dir)[0])
+    return read.select(F.regexp_extract("path", "([0-9]+)[.]wav$", 1).cast("long").alias("vec_id"), F.col("sr").cast("long").alias("sr"), "frames", check("samples"))
+
+
+@query
+def visit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of all pairs, cut where the files are."""
+    folder, pools = vector_files(spark, sf_dir)
+    plan, names, cut = written(planned(spark, sf_dir), "draws"), written(pools, "pools"), []
+    for kind, u in (("speech", "u_speech"), ("noise", "u_noise")):
+        of = names.where(F.col("speech") == (kind == "speech")).select(F.col("ord").alias(f"{kind}_ord"), F.col("name").alias("path"))
+        drawn = plan.join(of, f"{kind}_ord").select("global_idx", "path", F.col(u).alias("u"))
+        cut.append(visiting.segments(drawn, folder, CONFIG.target_sr, SEGMENT).select("global_idx", F.col("path").alias(f"{kind}_file"), check("x", f"{kind}_sum")))
+    return cut[0].join(cut[1], "global_idx")
+
+
 @query
 def rir_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two draws with replacement; for comparison, also two that differ."""
@@ -312,22 +341,24 @@ def ism_rir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.repartition(n).mapInPandas(run, "global_idx long, n long, peak_at long, far_n long, far_peak_at long")
 
 
-def mixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixed_rows(spark: SparkSession, sf_dir: str, *figures: Column) -> DataFrame:
+    """The good rows of a build by their names and numbers, with figures of their audio: what is written and numbered has no samples."""
     p = dataset.split(pairs(spark, sf_dir), BuildConfig(total_samples=table(spark, sf_dir, "embeddings").count()))
     spread = p.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "global_idx")  # little data, much work
-    made = written(dataset.mixed(spread, SEGMENT, array(NEAR), array(FAR), CONFIG.peak_norm_target), "mixed")
-    return dataset.local_index(made.where("error is null"))
+    made = dataset.mixed(spread, SEGMENT, array(NEAR), array(FAR), CONFIG.peak_norm_target)
+    return written(made.select("global_idx", "split", "speech_file", "noise_file", "snr_db", "error", *figures), "mixed").where("error is null")
 
 
 @query
 def mix_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole build: draws, pairing, segments, room responses, mixing, normalising, splits and numbers."""
-    return mixed_rows(spark, sf_dir).select("global_idx", "split", "local_idx", "speech_file", "noise_file", six(F.col("snr_db"), "snr_db"), check("noisy", "noisy_sum"), check("clean", "clean_sum"))
+    rows = dataset.local_index(mixed_rows(spark, sf_dir, check("noisy", "noisy_sum"), check("clean", "clean_sum")))
+    return rows.select("global_idx", "split", "local_idx", "speech_file", "noise_file", six(F.col("snr_db"), "snr_db"), "noisy_sum", "clean_sum")
 
 
 @query
 def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.manifest(mixed_rows(spark, sf_dir), "synthetic")
+    return dataset.manifest(dataset.local_index(mixed_rows(spark, sf_dir)), "synthetic")
 
 
 @query
@@ -338,7 +369,7 @@ def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON object for each sample; the driver joins the lines of a build into one file."""
-    m = dataset.manifest(mixed_rows(spark, sf_dir), "synthetic")
+    m = dataset.manifest(dataset.local_index(mixed_rows(spark, sf_dir)), "synthetic")
     return m.select("index", F.to_json(F.struct(*[c for c in m.columns if c != "split"])).alias("json"))
 
 

@@ -200,23 +200,13 @@ class Share(InputPartition):
 
 class WavReader(DataSourceReader):
     """A row for each file below a folder. The driver lists the folder's own subfolders; files are listed by the tasks, one or ``splits`` for
-    each subfolder. ``start`` and ``frames`` read only so much of each file; filters on path are met before a file is opened."""
+    each subfolder. ``start`` and ``frames`` read only so much of each file."""
 
     def __init__(self, folder: str, splits: int, start: int, frames: int | None):
         self.folder, self.splits, self.start, self.frames = folder, splits, start, frames
         self.only: set[str] | None = None
         self.begins: list[str] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            if isinstance(f, EqualTo | In) and f.attribute == ("path",):
-                names = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.only = names if self.only is None else self.only & names
-            elif isinstance(f, StringStartsWith) and f.attribute == ("path",):
-                self.begins.append(f.value)
-            else:
-                yield f
-
     def partitions(self) -> list[Share]:
         store, top = file_system(self.folder)
         below = [f.path for f in store.get_file_info(fs.FileSelector(top)) if f.type == fs.FileType.Directory and f.base_name != "_temporary"]
@@ -239,9 +229,24 @@ class WavReader(DataSourceReader):
                 yield name, None, None, None, f"{type(e).__name__}: {e}"
 
 
+class FilteringWavReader(WavReader):
+    """The same with filters on path met before a file is opened; Spark calls it only with spark.sql.python.filterPushdown.enabled."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute == ("path",):
+                names = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.only = names if self.only is None else self.only & names
+            elif isinstance(f, StringStartsWith) and f.attribute == ("path",):
+                self.begins.append(f.value)
+            else:
+                yield f
+
+
 class WavSource(DataSource):
     """df.write.format("wav").mode("append").option("subtype", "FLOAT").save(folder) for rows (path, sr, samples), and
-    spark.read.format("wav").load(folder) for (path, sr, frames, samples, error), channels averaged: the folder must be one that all executors share."""
+    spark.read.format("wav").load(folder) for (path, sr, frames, samples, error), channels averaged: the folder must be one that all executors share.
+    Options of a read: splits, start, frames, and pushdown ("true": filters on path spare files)."""
 
     @classmethod
     def name(cls) -> str:
@@ -251,8 +256,8 @@ class WavSource(DataSource):
         return "path string, sr int, frames long, samples array<double>, error string"
 
     def reader(self, schema) -> WavReader:
-        frames = self.options.get("frames")
-        return WavReader(self.options["path"], int(self.options.get("splits", 1)), int(self.options.get("start", 0)), None if frames is None else int(frames))
+        frames, kind = self.options.get("frames"), FilteringWavReader if self.options.get("pushdown", "false") == "true" else WavReader
+        return kind(self.options["path"], int(self.options.get("splits", 1)), int(self.options.get("start", 0)), None if frames is None else int(frames))
 
     def writer(self, schema, overwrite: bool) -> WavWriter:
         return WavWriter(self.options["path"], self.options.get("subtype", "PCM_16"))

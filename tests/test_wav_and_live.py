@@ -1,12 +1,13 @@
 """WAV files of both kinds, the reader's ranges and filters, the writer's commit and abort; commands with odd numbers in batch and stream."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairwave.operators import blocks, chunked, kernels, long_streams
+from pairwave.operators import blocks, chunked, kernels, long_streams, visiting
 from pairwave.sources import wav
 from pairwave.streaming import live
 
@@ -46,11 +47,12 @@ def test_source_reads_what_it_wrote(spark, tmp_path):
     rows(spark, names).repartition(3).write.format("wav").mode("append").option("subtype", "FLOAT").save(str(tmp_path))
     (tmp_path / "c/bad.wav").write_bytes(b"fLaC")
     (tmp_path / "c/note.txt").write_bytes(b"x")
-    read = spark.read.format("wav").option("splits", 2).load(str(tmp_path))
+    read = spark.read.format("wav").option("splits", 2).option("pushdown", "true").load(str(tmp_path))
     got = {r.path: r for r in read.collect()}
     assert {n: got[n].samples for n in names} == {n: [i / 8, 0.5, -0.5, 0.25] for i, n in enumerate(names)}
     assert len(got) == 6 and got["c/bad.wav"].error.startswith("CodecUnavailable") and got["a/1.wav"].frames == 4
-    assert [r.path for r in read.where("path = 'a/1.wav'").collect()] == ["a/1.wav"]
+    one = read.where("path = 'a/1.wav'")
+    assert [r.path for r in one.collect()] == ["a/1.wav"] and [r.path for r in spark.read.format("wav").load(str(tmp_path)).where("path = 'a/1.wav'").collect()] == ["a/1.wav"]
     assert {r.path for r in read.where("path like 'c/%' and path in ('c/3.wav', 'c/4.wav', 'a/1.wav')").collect()} == {"c/3.wav", "c/4.wav"}
     part = spark.read.format("wav").option("start", 1).option("frames", 2).load(str(tmp_path)).where("path = 'c/4.wav'").first()
     assert part.samples == [0.5, -0.5] and part.frames == 4
@@ -80,6 +82,31 @@ def test_failing_job_leaves_nothing(spark, tmp_path):
     assert not [p for p in tmp_path.rglob("*") if p.is_file()]
 
 
+def test_visits_of_one_file_by_all(spark, tmp_path):
+    """One file drawn for all rows goes to several tasks; short and lost files, files at another rate."""
+    x = np.random.default_rng(1).normal(size=500)
+    (tmp_path / "a.wav").write_bytes(wav.encode(x, 8000, "FLOAT"))
+    (tmp_path / "s.wav").write_bytes(wav.encode(x[:10], 8000, "FLOAT"))
+    (tmp_path / "r.wav").write_bytes(wav.encode(x, 4000, "FLOAT"))
+    draws = [(i, "a.wav", (i * 37 % 101) / 101) for i in range(300)] + [(300, "s.wav", 0.5), (301, "r.wav", 0.5), (302, "lost.wav", 0.5)]
+    d = spark.createDataFrame(draws, "global_idx long, path string, u double").repartition(3)
+    cut = visiting.segments(d, str(tmp_path), 8000, 64, most=50)
+    tasks = Counter(r.p for r in cut.where("path = 'a.wav'").select(F.spark_partition_id().alias("p")).collect())
+    assert len(tasks) > 1
+    got = {r.global_idx: r for r in cut.collect()}
+    x = x.astype("f4").astype(float)
+    assert len(got) == 303 and all(np.array_equal(got[i].x, x[(at := int(u * 437)) : at + 64]) for i, _, u in draws[:300])
+    assert got[300].x == [0.0] * 27 + x[:10].tolist() + [0.0] * 27 and got[302].x is None and got[302].error
+    assert np.allclose(got[301].x, kernels.resample(x, 4000, 8000)[int(0.5 * 937) :][:64])
+
+
+def test_no_exchange_of_visits_holds_samples(spark, tmp_path):
+    d = spark.createDataFrame([(0, "a.wav", 0.5)], "global_idx long, path string, u double")
+    plan = visiting.segments(d, str(tmp_path), 8000, 64)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("MapInPandas") :].split("\n", 1)[1]
+    assert "RepartitionByExpression" in below and "array" not in below and " x#" not in below
+
+
 INF, NAN = math.inf, math.nan
 SAID = [("SET_GAIN", 6.0), ("SET_GAIN", INF), ("SET_GAIN", -INF), ("SET_GAIN", NAN), ("SET_GAIN", None), ("SET_STRENGTH", INF), ("SET_STRENGTH", NAN), ("SET_INPUT_DEVICE", 1.0), ("SET_INPUT_DEVICE", INF), ("SET_INPUT_DEVICE", NAN), ("SET_OUTPUT_DEVICE", -INF), ("SET_OUTPUT_DEVICE", 1e300), ("SET_ENABLED", NAN), ("SET_ENABLED", INF), ("SET_ENABLED", None), (None, None)]
 
