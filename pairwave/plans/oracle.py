@@ -225,3 +225,5 @@ SQL: dict[str, str] = {
 for scan, twin in (("scan_blocks", "block_meter"), ("scan_faults", "xrun_cumulative"), ("scan_control", "control_asof")):
     SQL[scan] = SQL[twin].replace("user_id AS stream_id", "0::BIGINT AS stream_id").replace("PARTITION BY user_id ", "")
 SQL["resample_chunked"] = SQL["resample_fir"]
+SQL |= {"processor_blocks": SQL["stream_blocks"], "processor_control": SQL["stream_control"], "ordered_control": SQL["control_state"]}
+SQL["stream_progress"] = "SELECT count(*) AS rows_in, count(*) AS made, count(*) FILTER (event_type = 'error') AS faults FROM events"

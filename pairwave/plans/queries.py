@@ -3,6 +3,7 @@ pool and the others the noise pool; streams are the events of each user. ``oracl
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pairwave.operators.numbering import numbered
 from pairwave.plans import dataset
 from pairwave.sources import wav
 from pairwave.sources.shared import new_folder, written
-from pairwave.streaming import live
+from pairwave.streaming import live, processors, progress
 
 CONFIG = BuildConfig()
 #: Samples of a segment, a padded segment and a block; room responses; the filter of a 3:2 resampling.
@@ -613,3 +614,66 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = live.landed(engine_stream(spark, sf_dir))
     found = spark.readStream.schema(live.ENGINE).parquet(folder).where("event = 'BLOCK'")
     return live.run_to_end(live.status(found), "complete").select("stream_id", "tick", six(F.col("input_db"), "input_db"), six(F.col("output_db"), "output_db"), "faults")
+
+
+@query
+def processor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stream_blocks by a stateful processor."""
+    out = live.run_to_end(processors.applied(event_stream(spark, sf_dir), processors.Blocks(BLOCK)))
+    return out.select("stream_id", "block_idx", six(F.col("peak"), "peak"), "faults")
+
+
+@query
+def processor_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stream_control by a stateful processor."""
+    out = live.run_to_end(processors.applied(event_stream(spark, sf_dir), processors.Controls()))
+    return out.select("stream_id", "seq", six(F.col("gain_db"), "gain_db"), six(F.col("strength"), "strength"))
+
+
+#: Files that each of two sources comes in; a row may come a file later than its time says.
+ARRIVALS = 5
+
+
+def arriving(rows: DataFrame, name: str) -> tuple[str, int]:
+    """rows (ts, seq, ...) as files that come one after the other, out of order by up to a file, and at last one that ends the time; their
+    folder, and the seconds by which a row can be late."""
+    folder = new_folder(rows.sparkSession, name)
+    low, high = rows.agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))), F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).first()
+    step = (high - low) // (ARRIVALS - 1) + 1
+    at = ((F.unix_seconds(F.col("ts").cast("timestamp")) - low) / step + F.pmod(F.xxhash64("seq"), F.lit(1000)) / 1000).cast("int")
+    dealt = written(rows.withColumn("__file", at), name)
+    for k in range(ARRIVALS + 1):
+        dealt.where(F.col("__file") == k).drop("__file").coalesce(1).write.mode("append").parquet(folder)
+    end = [F.lit(-1).cast("long").alias("stream_id"), (F.lit(high + 4 * step).cast("timestamp").cast("timestamp_ntz")).alias("ts"), F.lit(-1).cast("long").alias("seq")]
+    have = {"stream_id", "ts", "seq"}
+    more = [F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c not in have]
+    rows.sparkSession.range(1).select(*end, *more).select(rows.columns).coalesce(1).write.mode("append").parquet(folder)
+    return folder, 2 * step
+
+
+@query
+def ordered_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """control_state from two sources, samples and commands, whose rows come out of order over many micro-batches."""
+    rows = commands(table(spark, sf_dir, "events"))
+    samples, late = arriving(rows.select("stream_id", "ts", "seq"), "samples")
+    said, _ = arriving(rows.where("command is not null").select("stream_id", "ts", "seq", "command", "arg"), "commands")
+    read = lambda folder, names: live.rows_from(spark, folder, rows.select(*names).schema, files=1)
+    out = live.run_to_end(processors.in_order(read(samples, ["stream_id", "ts", "seq"]), read(said, ["stream_id", "ts", "seq", "command", "arg"]), f"{late} seconds"))
+    return out.select("stream_id", "seq", "enabled", six(F.col("strength"), "strength"), six(F.col("gain_db"), "gain_db"), "input_device", "output_device")
+
+
+@query
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener heard of a stream over all events: rows in, and observed rows and faults, summed over its micro-batches."""
+    folder, name = new_folder(spark, "progress"), f"progress-{uuid.uuid4().hex}"
+    heard = progress.Progress(name, folder)
+    spark.streams.addListener(heard)
+    try:
+        seen = event_stream(spark, sf_dir).observe("seen", F.count("*").alias("made"), F.count_if(F.col("kind") == blocks.FAULT).alias("faults"))
+        live.landed(seen, name)
+        if not heard.ended.wait(120):
+            raise TimeoutError("the stream's end was not heard of")
+    finally:
+        spark.streams.removeListener(heard)
+    of = lambda k: F.sum(F.element_at("observed", k)).alias(k)
+    return progress.table(spark, folder).agg(F.sum("rows_in").alias("rows_in"), of("made"), of("faults"))

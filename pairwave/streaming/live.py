@@ -176,10 +176,11 @@ def rows_from(spark: SparkSession, path: str, schema: StructType | str, files: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path)
 
 
-def landed(stream: DataFrame) -> str:
+def landed(stream: DataFrame, name: str | None = None) -> str:
     """The folder of what the stream gives, as rows to append, for all that is there now."""
     out, log = new_folder(stream.sparkSession, "stream"), new_folder(stream.sparkSession, "stream-log")
-    stream.writeStream.option("checkpointLocation", log).trigger(availableNow=True).format("parquet").option("path", out).outputMode("append").start().awaitTermination()
+    writer = stream.writeStream.queryName(name) if name else stream.writeStream
+    writer.option("checkpointLocation", log).trigger(availableNow=True).format("parquet").option("path", out).outputMode("append").start().awaitTermination()
     return out
 
 
