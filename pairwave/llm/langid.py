@@ -86,7 +86,8 @@ def fitted(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, siz
     if not rates:
         return empty
     rate = F.create_map(*(x for lang, r in rates.items() for x in (F.lit(lang), F.lit(r))))
-    picked = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.get(F.array(F.element_at(rate, F.col("lang"))), F.lit(0)) * 1_000_000)
+    place = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) + F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(1 << 40)) / float(1 << 40)  # fine enough for any number of texts
+    picked = texts.where(place < F.element_at(rate, F.col("lang")) * 1_000_000)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

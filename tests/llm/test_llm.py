@@ -421,6 +421,42 @@ def test_language_of_no_labels_and_ties(spark):
     assert [r.lang_pred for r in langid.identified(spark.createDataFrame([(1, "so")], "doc_id long, text string"), model).collect()] == ["a"]
 
 
+def test_language_against_plain_code(spark):
+    """Centroids by plain loops over vectors, and every prediction by looking at each centroid."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    train = docs.where(~langid.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    model = langid.fitted(train.select("text", "lang"))
+    texts = sorted({(r.lang, r.text) for r in train.collect() if langid.counts(r.text) is not None})
+    df = sum((langid.counts(t) > 0).astype(int) for _, t in texts)
+    idf = np.log((1 + len(texts)) / (1 + df)) + 1
+    assert np.allclose(model["idf"], idf, atol=1e-5) and sorted(set(model["langs"])) == sorted({x for x, _ in texts})
+    for lang in set(model["langs"]):
+        v = np.array([x / np.linalg.norm(x) for x in (langid.counts(t) * model["idf"] for m, t in texts if m == lang)])
+        v = v[np.lexsort(v.T[:8])]
+        mean = v.mean(axis=0) / np.linalg.norm(v.mean(axis=0))
+        far = sorted(range(len(v)), key=lambda i: float(v[i] @ mean))
+        centers = [v[far[i]] for i in sorted({int(x) for x in np.linspace(len(v) - 1, len(v) // 5, min(langid.CLUSTERS, len(v)))})]
+        for _ in range(10):
+            own = [max(range(len(centers)), key=lambda k: (float(x @ centers[k]), -k)) for x in v]
+            centers = [m / np.linalg.norm(m) if own.count(k) and (m := v[[i for i, o in enumerate(own) if o == k]].mean(axis=0)) is not None else c for k, c in enumerate(centers)]
+        own = [max(range(len(centers)), key=lambda k: (float(x @ centers[k]), -k)) for x in v]
+        shares = [own.count(k) / len(v) for k in range(len(centers))]
+        kept = [k for k, share in enumerate(shares) if share >= min(0.05, max(shares))]
+        got = [i for i, x in enumerate(model["langs"]) if x == lang]
+        assert len(got) == len(kept) and all(np.allclose(model["centers"][i], centers[k], atol=1e-3) for i, k in zip(got, kept, strict=True))
+        assert all(abs(model["reach"][i] - (1 - np.quantile([float(v[j] @ centers[k]) for j, o in enumerate(own) if o == k], 0.01))) < 1e-3 for i, k in zip(got, kept, strict=True))
+    for r in langid.identified(docs.withColumn("whole", F.col("text")), model, ("whole",)).collect():
+        x = langid.counts(r.whole)
+        if x is None:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        x = x * model["idf"] / np.linalg.norm(x * model["idf"])
+        near = [float(x @ c) for c in model["centers"]]
+        best = near.index(max(near))
+        assert abs(r.score - near[best]) < 1e-4 and abs(near[model["langs"].index(r.lang_pred)] - near[best]) < 1 and model["langs"][best] == r.lang_pred
+        assert abs(1 - near[best] - model["reach"][best] - langid.SLACK) < 1e-4 or r.rejected == (1 - near[best] > model["reach"][best] + langid.SLACK)
+
+
 def test_pieces_of_a_long_text_count_once(monkeypatch):
     text = "Ein  Satz, der\n12 Wörter hat -- und 日本語. " * 30
     whole = langid.counts(text)
@@ -544,15 +580,47 @@ def test_warc_records(spark):
     assert got == {1: (1_400_000, sha(big), "revisit", 2), 2: (1_400_000, sha(big), "response", None), 3: (5, sha("small"), "response", None), 4: (5, sha("small"), "response", None), 5: (0, sha(""), "response", None)}
 
 
+def test_warc_of_null_and_tied_ids(spark):
+    a, b, c = ("<p>" + x * 1200 for x in "abc")
+    rows = [(1, a), (2, a), (2, a), (None, a), (None, b), (None, b), (7, c), (None, c), (8, "<p>short"), (9, "<p>short"), (None, None)]
+    got = warc.round_trip(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")).collect()
+    digest = {hashlib.sha1((h or "").encode()).hexdigest(): h for _, h in rows}
+    found = Counter((r.page_id, digest[r.payload_digest], r.record_type, r.refers_to) for r in got)
+    assert found == Counter(
+        [(1, a, "revisit", 2), (2, a, "response", None), (2, a, "response", None), (None, a, "revisit", 2), (None, b, "response", None), (None, b, "response", None)]
+        + [(7, c, "response", None), (None, c, "revisit", 7), (8, "<p>short", "response", None), (9, "<p>short", "response", None), (None, None, "response", None)]
+    )
+
+
+def test_decontamination_ties(spark):
+    """Of equal windows the first is given; items with the same text are each reported."""
+    item = " ".join(f"w{i}" for i in range(20))
+    text = f"some words {item} and again {item} end"
+    d = spark.createDataFrame([(1, text), (1, text), (2, item)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.first_word, r.similarity) for r in decontam.contaminated(d, benchmark(spark, [(5, item), (4, item)])).collect())
+    assert got == Counter({(1, 4, 2, 1.0): 2, (1, 5, 2, 1.0): 2, (2, 4, 0, 1.0): 1, (2, 5, 0, 1.0): 1})
+
+
+def test_pipeline_of_repeated_and_null_ids(spark, tmp_path):
+    """Odd rows that pass the first stage: an id on two texts, no id, copies, a long text."""
+    a, b, c, e = (" ".join(f"{k}{rng.choice('aeiou')}{i * 7919 % 10007}" for i in range(n)) for k, n in (("p", 80), ("q", 90), ("r", 100), ("s", 30_000)))
+    rows = [(1, a), (1, b), (2, a), (None, a), (None, c), (3, e), (3, e), (4, None), (5, c + " more")]
+    d = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], SCHEMA).withColumn("extra", F.lit(1))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark, ()).write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in got) in ([(False, 1), (False, 1), (False, 3), (False, 5)], [(False, 1), (False, 1), (False, 3), (False, 5), (True, None)]) and all(r.round_trip for r in got)
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.execute(registry.ORACLE_SQL[name]).df()
     got = registry.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
-    key = want.columns[0]
-    a, b = (x.sort_values(key).reset_index(drop=True) for x in (got, want))
+    a, b = (x.sort_values(list(want.columns)).reset_index(drop=True) for x in (got, want))
     assert len(a) == len(b) and (a.eq(b) | (a.isna() & b.isna())).all().all()
 
 
