@@ -12,6 +12,7 @@ from pairwave.config import BuildConfig
 from pairwave.functions import signal
 from pairwave.functions.rng import between, pick, uniform
 from pairwave.operators.numbering import numbered
+from pairwave.operators.scan import ranged, scanned, total
 
 #: Rows to a bucket of a dense numbering.
 BUCKET = 1 << 16
@@ -45,6 +46,30 @@ def split(rows: DataFrame, c: BuildConfig) -> DataFrame:
     return ranked.withColumn("split", name).drop("__rank")
 
 
+def source_splits(files: DataFrame, c: BuildConfig) -> DataFrame:
+    """files (pool, name, weight, u) with split, so that no file is in two: the files of a pool stand in the order of the uniform draw u, and
+    each belongs to the split in which the middle of its weight falls. A split's weight is off by half a file at each end at most."""
+    order = ["u", "name"]
+    placed = scanned(ranged(files, ["pool"], order, "files"), ["pool"], order, {"__upto": total(F.col("weight"))})
+    sums = F.broadcast(files.groupBy("pool").agg(F.sum("weight").alias("__all")))  # a row a pool
+    share = (F.col("__upto") - F.col("weight") / 2) / F.col("__all")
+    name = F.when(share < c.train_ratio, "train").when(share < c.train_ratio + c.val_ratio, "val").otherwise("test")
+    return placed.join(sums, "pool").select(*files.columns, name.alias("split"))
+
+
+def drawn_within(rows: DataFrame, files: DataFrame, c: BuildConfig, kinds: tuple[str, ...] = ("speech", "noise")) -> DataFrame:
+    """rows (global_idx, split) with a file of each kind out of the row's own split: speech_file, noise_file; null where a split has none.
+    files: (pool, name, split), with the kinds as pools."""
+    at = numbered(files.withColumn("__u", uniform(c.seed, F.col("name"), "pool")), F.floor(F.col("__u") * BUCKET), ["__u", "name"], "ord", ("pool", "split")).select("pool", "split", "ord", "name")
+    sizes = files.groupBy("pool", "split").agg(F.count("*").alias("n"))  # a row a pool and split
+    for kind in kinds:
+        n = F.broadcast(sizes.where(F.col("pool") == kind).select("split", F.col("n").alias(f"__{kind}_n")))
+        mine = at.where(F.col("pool") == kind).select("split", F.col("ord").alias("__ord"), F.col("name").alias(f"{kind}_file"))
+        rows = rows.join(n, "split", "left").withColumn("__ord", pick(uniform(c.seed, F.col("global_idx"), kind), F.col(f"__{kind}_n"))).drop(f"__{kind}_n")
+        rows = rows.join(mine, ["split", "__ord"], "left").drop("__ord")
+    return rows
+
+
 def local_index(rows: DataFrame) -> DataFrame:
     """rows (global_idx, split) with local_idx, dense in each split."""
     return numbered(rows, F.floor(F.col("global_idx") / BUCKET), ["global_idx"], "local_idx", ("split",))

@@ -227,3 +227,13 @@ for scan, twin in (("scan_blocks", "block_meter"), ("scan_faults", "xrun_cumulat
 SQL["resample_chunked"] = SQL["resample_fir"]
 SQL |= {"processor_blocks": SQL["stream_blocks"], "processor_control": SQL["stream_control"], "ordered_control": SQL["control_state"]}
 SQL["stream_progress"] = "SELECT count(*) AS rows_in, count(*) AS made, count(*) FILTER (event_type = 'error') AS faults FROM events"
+SQL["split_by_source"] = f"""{V}, {RANKED},
+    f AS (SELECT CASE WHEN label < 5 THEN 'speech' ELSE 'noise' END AS pool, printf('%s/%06d.wav', CASE WHEN label < 5 THEN 'speech' ELSE 'noise' END, vec_id) AS name, len(x) AS weight, {u("source", "vec_id")} AS draw FROM v),
+    m AS (SELECT *, (sum(weight) OVER (PARTITION BY pool ORDER BY draw, name ROWS UNBOUNDED PRECEDING) - weight / 2) / sum(weight) OVER (PARTITION BY pool) AS share FROM f),
+    p AS (SELECT pool, name, CASE WHEN share < {C.train_ratio}::DOUBLE THEN 'train' WHEN share < {C.train_ratio + C.val_ratio}::DOUBLE THEN 'val' ELSE 'test' END AS split FROM m),
+    o AS (SELECT *, row_number() OVER (PARTITION BY pool, split ORDER BY {u("pool", "name")}, name) - 1 AS ord FROM p),
+    k AS (SELECT pool, split, count(*) AS n FROM p GROUP BY pool, split)
+    SELECT a.i AS global_idx, a.split, s.name AS speech_file, z.name AS noise_file FROM a
+    LEFT JOIN k ks ON ks.pool = 'speech' AND ks.split = a.split LEFT JOIN k kn ON kn.pool = 'noise' AND kn.split = a.split
+    LEFT JOIN o s ON s.pool = 'speech' AND s.split = a.split AND s.ord = floor({u("speech", "a.i")} * ks.n)
+    LEFT JOIN o z ON z.pool = 'noise' AND z.split = a.split AND z.ord = floor({u("noise", "a.i")} * kn.n)"""

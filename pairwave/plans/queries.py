@@ -289,6 +289,16 @@ def local_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.local_index(split_plan(spark, sf_dir)).select("global_idx", "split", "local_idx")
 
 
+@query
+def split_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A build's draws where the files themselves are split, by their samples: no file is in two splits."""
+    speech = F.col("label") < 5
+    kind = F.when(speech, "speech").otherwise("noise")
+    files = vectors(spark, sf_dir).select(kind.alias("pool"), F.format_string("%s/%06d.wav", kind, "vec_id").alias("name"), F.size("x").cast("long").alias("weight"), uniform(CONFIG.seed, F.col("vec_id"), "source").alias("u"))
+    placed = written(dataset.source_splits(files, CONFIG), "source-splits")
+    return dataset.drawn_within(split_plan(spark, sf_dir).select("global_idx", "split"), placed, CONFIG).select("global_idx", "split", "speech_file", "noise_file")
+
+
 @query
 def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of all rows, and what they would be a million further on."""

@@ -71,6 +71,27 @@ def test_splits(spark, total, want):
     assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, other.collect()))
 
 
+def test_files_are_in_one_split(spark):
+    rows = [(("speech", "noise")[i % 2], f"{i:03d}", 1 + i * i % 17, (i * 37 % 101) / 101) for i in range(100)] + [("lone", "x", 5, 0.5), ("none", "y", 0, 0.5)]
+    files = spark.createDataFrame(rows, "pool string, name string, weight long, u double")
+    c = BuildConfig(total_samples=200)
+    placed = dataset.source_splits(files.where("pool <> 'none'"), c)
+    at = {(r.pool, r.name): r.split for r in placed.collect()}
+    for pool in ("speech", "noise", "lone"):
+        mine, upto = sorted((u, n, w) for p, n, w, u in rows if p == pool), 0
+        whole = sum(w for *_, w in mine)
+        for _, n, w in mine:
+            share = (upto + w / 2) / whole
+            assert at[pool, n] == ("train" if share < 0.8 else "val" if share < 0.9 else "test")
+            upto += w
+    plan = dataset.split(spark.range(200).select(F.col("id").alias("global_idx"), (F.col("id") * 83 % 200 / 200).alias("u_split")), c).select("global_idx", "split")
+    got = dataset.drawn_within(plan, placed, c).collect()
+    assert len(got) == 200 and all(at["speech", r.speech_file] == at["noise", r.noise_file] == r.split for r in got)
+    seen = [{r.speech_file for r in got if r.split == s} for s in ("train", "val", "test")]
+    assert all(seen) and not seen[0] & seen[1] and not seen[0] & seen[2] and not seen[1] & seen[2]
+    assert {r.lone_file for r in dataset.drawn_within(plan, placed, c, ("lone",)).collect()} == {"x", None}
+
+
 def test_ratios_must_sum():
     with pytest.raises(ValueError):
         BuildConfig(train_ratio=0.79)
