@@ -159,6 +159,7 @@ def percent_label(percent: Column) -> Column:
     return F.format_string("%d %%", percent.cast("long"))
 
 
+# Fixed value: the wording of the status line.
 def status_text(faults: Column) -> Column:
     """What the status line says; faults only if there were any."""
     return F.concat(F.lit("Engine running"), F.when(faults > 0, F.format_string("  |  x-runs: %d", faults)).otherwise(F.lit("")))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
-from pyarrow.fs import FileSelector, FileType
+from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwave.operators.numbering import numbered
+from pairwave.sources.listing import ListingSource
 from pairwave.sources.shared import file_system, located, written
 
 #: What counts as an audio file.
@@ -16,7 +15,7 @@ EXTENSIONS = (".aif", ".aiff", ".flac", ".mp3", ".ogg", ".wav")
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    return F.lower(F.regexp_extract(path, r"[^./][^/]*(\.[^./]+)$", 1))
 
 
 def audio_files(files: DataFrame) -> DataFrame:
@@ -30,17 +29,12 @@ def ordered(files: DataFrame) -> DataFrame:
     return numbered(written(ranges, "ranges"), F.col("range"), ["parts"], "ord").drop("parts", "range")
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(ord, path, ext, length) of the audio files below a folder or URI; none if it isn't there.
-
-    Listed on the driver, since Spark's file sources leave out names that begin with a dot or an underscore.
-    """
-    rows = []
-    if root:
-        store, top = file_system(root)
-        there = store.get_file_info(top).type == FileType.Directory
-        files = [f for f in store.get_file_info(FileSelector(top, recursive=True)) if f.type == FileType.File] if there else []
-        named = sorted((f.path[len(top) :].strip("/").split("/"), f.size) for f in files)
-        kept = [(name, ext, size) for name, size in named if (ext := os.path.splitext(name[-1])[1].lower()) in EXTENSIONS]
-        rows = [(i, "/".join((located(root), *name)), ext, size) for i, (name, ext, size) in enumerate(kept)]
-    return spark.createDataFrame(rows, "ord long, path string, ext string, length long")
+def discover(spark: SparkSession, root: str, splits: int = 1) -> DataFrame:
+    """(ord, path, ext, length) of the audio files below a folder or URI; none if it isn't there. Tasks list the files, so many for each subfolder."""
+    store, top = file_system(root) if root else (None, "")
+    if store is None or store.get_file_info(top).type != FileType.Directory:
+        return spark.createDataFrame([], "ord long, path string, ext string, length long")
+    spark.dataSource.register(ListingSource)
+    found = spark.read.format("file_listing").option("splits", splits).load(located(root))
+    placed = ordered(audio_files(found.select(F.col("name").alias("path"), "length")))
+    return placed.select("ord", F.concat(F.lit(located(root) + "/"), "path").alias("path"), "ext", "length")

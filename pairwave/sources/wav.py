@@ -8,7 +8,6 @@ from __future__ import annotations
 import io
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
@@ -17,8 +16,9 @@ import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, StringStartsWith, WriterCommitMessage
 
+from pairwave.sources.listing import Share, files_of, shares
 from pairwave.sources.shared import file_system
 
 # Fixed values of the format: kinds of samples, and the kind that names another one further on.
@@ -188,16 +188,6 @@ class WavWriter(DataSourceWriter):
             store.delete_dir(above)
 
 
-@dataclass
-class Share(InputPartition):
-    """The files below a folder (or only in it) that fall to one of several tasks by their name."""
-
-    folder: str
-    deep: bool
-    part: int
-    parts: int
-
-
 class WavReader(DataSourceReader):
     """A row for each file below a folder. The driver lists the folder's own subfolders; files are listed by the tasks, one or ``splits`` for
     each subfolder. ``start`` and ``frames`` read only so much of each file."""
@@ -208,18 +198,15 @@ class WavReader(DataSourceReader):
         self.begins: list[str] = []
 
     def partitions(self) -> list[Share]:
-        store, top = file_system(self.folder)
-        below = [f.path for f in store.get_file_info(fs.FileSelector(top)) if f.type == fs.FileType.Directory and f.base_name != "_temporary"]
-        return [Share(p, p != top, i, self.splits) for p in [top, *sorted(below)] for i in range(self.splits)]
+        return shares(self.folder, self.splits)
 
     def wanted(self, name: str) -> bool:
         return (self.only is None or name in self.only) and all(map(name.startswith, self.begins))
 
     def read(self, partition: Share) -> Iterator[tuple]:
-        store, top = file_system(self.folder)
-        for f in store.get_file_info(fs.FileSelector(partition.folder, recursive=partition.deep)):
-            name = f.path.removeprefix(top).lstrip("/")
-            if f.type != fs.FileType.File or not name.lower().endswith(".wav") or zlib.crc32(name.encode()) % partition.parts != partition.part or not self.wanted(name):
+        store, _ = file_system(self.folder)
+        for name, f in files_of(self.folder, partition):
+            if not name.lower().endswith(".wav") or not self.wanted(name):
                 continue
             try:
                 with store.open_input_file(f.path) as file:
