@@ -227,6 +227,9 @@ for scan, twin in (("scan_blocks", "block_meter"), ("scan_faults", "xrun_cumulat
 SQL["resample_chunked"] = SQL["resample_fir"]
 SQL |= {"processor_blocks": SQL["stream_blocks"], "processor_control": SQL["stream_control"], "ordered_control": SQL["control_state"]}
 SQL["stream_progress"] = "SELECT count(*) AS rows_in, count(*) AS made, count(*) FILTER (event_type = 'error') AS faults FROM events"
+SQL["stream_backlog"] = f"""WITH e AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS o, count(*) OVER () AS n FROM events)
+    SELECT (o // {q.ADMITTED}) * {q.ADMITTED} AS start, max(o) + 1 AS "end", max(n) - max(o) - 1 AS backlog, count(*) AS rows, count(*) FILTER (event_type = 'error') AS faults, max(event_id) AS last_event
+    FROM e GROUP BY 1"""
 SQL["split_by_source"] = f"""{V}, {RANKED},
     f AS (SELECT CASE WHEN label < 5 THEN 'speech' ELSE 'noise' END AS pool, printf('%s/%06d.wav', CASE WHEN label < 5 THEN 'speech' ELSE 'noise' END, vec_id) AS name, len(x) AS weight, {u("source", "vec_id")} AS draw FROM v),
     m AS (SELECT *, (sum(weight) OVER (PARTITION BY pool ORDER BY draw, name ROWS UNBOUNDED PRECEDING) - weight / 2) / sum(weight) OVER (PARTITION BY pool) AS share FROM f),

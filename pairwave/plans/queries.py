@@ -17,7 +17,7 @@ from pairwave.functions.rng import pick, uniform
 from pairwave.operators import blocks, chunked, corpus, devices, kernels, long_streams, room, visiting
 from pairwave.operators.numbering import numbered
 from pairwave.plans import dataset
-from pairwave.sources import wav
+from pairwave.sources import feed, wav
 from pairwave.sources.shared import new_folder, written
 from pairwave.streaming import live, processors, progress
 
@@ -687,3 +687,22 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.streams.removeListener(heard)
     of = lambda k: F.sum(F.element_at("observed", k)).alias(k)
     return progress.table(spark, folder).agg(F.sum("rows_in").alias("rows_in"), of("made"), of("faults"))
+
+
+#: Rows that a micro-batch of the feed is given at most.
+ADMITTED = 2_500
+
+
+@query
+def stream_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, landed in files by ranges, through a source with offsets of its own: for each admission
+    its rows, the backlog left behind it, faults and last event."""
+    events, log, landing = table(spark, sf_dir, "events"), new_folder(spark, "feed-log"), new_folder(spark, "feed")
+    events.select("event_id", "event_type").repartitionByRange("event_id").sortWithinPartitions("event_id").write.parquet(landing)
+    rows = feed.feed(spark, landing, events.select("event_id", "event_type").schema, log, ADMITTED, order="name")
+    folder = live.drained(rows, new_folder(spark, "stream-log"))
+    came = spark.read.schema(rows.schema).parquet(folder).groupBy((F.floor(F.col("offset") / ADMITTED) * ADMITTED).alias("start"))
+    held = came.agg(F.count("*").alias("rows"), F.count_if(F.col("event_type") == "error").alias("faults"), F.max("event_id").alias("last_event"))
+    given = feed.admissions(spark, log)
+    total = given.agg(F.max("end")).first()[0]
+    return given.join(held, "start", "left").select("start", "end", (F.lit(total) - F.col("end")).alias("backlog"), "rows", "faults", "last_event")

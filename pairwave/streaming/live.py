@@ -184,6 +184,17 @@ def landed(stream: DataFrame, name: str | None = None) -> str:
     return out
 
 
+def drained(stream: DataFrame, log: str) -> str:
+    """The folder of what a stream with bounded micro-batches gives, until none has more; log is its checkpoint."""
+    out = new_folder(stream.sparkSession, "stream")
+    running = stream.writeStream.option("checkpointLocation", log).format("parquet").option("path", out).outputMode("append").start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return out
+
+
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What the stream gives for all that is there now, from a written table. In complete mode each micro-batch replaces the one before."""
     spark: SparkSession = stream.sparkSession
