@@ -13,73 +13,38 @@ similarity of 0.8 differs in about ten bits, and the radius is two standard devi
 Windows that can't reach any item of their size are skipped without loss: a window needs a certain number of shingles
 that stand in some item, whichever, and a membership test on shingle hashes counts them (a text without any is done).
 
-The index of about ``block`` items and ``BLOCK_BYTES`` of text at most goes to every task and is built once a worker; a larger
-benchmark is taken in blocks, each against all documents.
-No document row is shuffled. Null texts and texts without a word hold nothing; items without a word are in nothing;
+The index of at most ``block`` items and ``BLOCK_BYTES`` of text goes to every task and is built once a worker, and no document row is
+shuffled; a larger benchmark is a table that windows are joined to (decontam_tables). Null texts and texts without a word hold nothing; items without a word are in nothing;
 repeated rows, doc_ids and items each give their own rows; null ids are carried. Of windows with equal similarity the first
 is given. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-import re
 import uuid
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, SIMILARITY, RADIUS, BLOCK, BLOCK_BYTES = 5, 0.8, 15, 20_000, 1 << 24
-BLOCKS = 4
+from pairwave.llm import decontam_tables
+from pairwave.llm.windows import BLOCKS, MIX, RADIUS, WIDTH, WORDS, bits, flips, needed, packed, shingles, similarity
+
+SIMILARITY, BLOCK, BLOCK_BYTES = 0.8, 20_000, 1 << 24
 #: Differing bits of a block that the index spells out; a window's look-ups spell out the others.
 LISTED = 2
 #: Windows that are looked up at once.
 LOOKUPS = 512
 #: Windows whose running sums are held at once.
 STRETCH = 1 << 14
-WORDS = re.compile(r"[^\W_]+")
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit mix of whole numbers: the finishing step of SplitMix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(ids: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the runs of k word numbers."""
-    n = len(ids) - k + 1
-    h = np.zeros(max(n, 0), np.uint64)
-    for i in range(k):
-        h = h * MIX + ids[i : i + n] if n > 0 else h
-    return mixed(h)
-
-
-def bits(h: np.ndarray) -> np.ndarray:
-    """(n, 64) of -1 and 1."""
-    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
-
-
-def packed(signs: np.ndarray) -> np.ndarray:
-    return np.packbits(signs > 0, axis=1, bitorder="little").view(np.uint64).ravel()
-
-
 def block_values(prints: np.ndarray) -> np.ndarray:
     """(n, BLOCKS): the 16-bit blocks of fingerprints."""
     return np.ascontiguousarray(prints).view(np.uint16).reshape(-1, BLOCKS)
 
 
-def flips(most: int) -> np.ndarray:
-    """All patterns of 16 bits with at most so many set."""
-    return np.array([sum(1 << b for b in some) for n in range(most + 1) for some in combinations(range(16), n)], np.uint16)
-
-
 class Index:
     """Benchmark items, by what finds them."""
 
@@ -143,14 +108,6 @@ class Index:
         return sorted(found)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> float:
-    """Weighted Jaccard similarity of a multiset of shingles, as values and how often each is there, and those of a window."""
-    values, n = np.unique(window, return_counts=True)
-    at = np.minimum(np.searchsorted(a[0], values), len(a[0]) - 1)
-    shared = int(np.minimum(a[1][at], n)[a[0][at] == values].sum())
-    return shared / (int(a[1].sum()) + len(window) - shared)
-
-
 def hits(index: Index, ids: np.ndarray) -> dict[int, np.ndarray]:
     """For each shingle width of the index, where a shingle of some item stands."""
     found = {}
@@ -163,11 +120,6 @@ def hits(index: Index, ids: np.ndarray) -> dict[int, np.ndarray]:
     return found
 
 
-def needed(a: int, b: int, least: float) -> int:
-    """Shared shingles without which sets of a and b shingles can't be that similar."""
-    return math.ceil((a + b) * least / (1 + least) - 1e-9)
-
-
 def contamination(index: Index, ids: np.ndarray, least: float, spots: dict[int, np.ndarray]) -> Iterator[tuple[int, int, float]]:
     """(item, first word of the best window, its similarity) for each item in a document of these word numbers."""
     best: dict[int, tuple[float, int]] = {}
@@ -204,30 +156,31 @@ def contamination(index: Index, ids: np.ndarray, least: float, spots: dict[int,
         yield i, -s, found
 
 
-def blocks_of(benchmark: DataFrame, block: int) -> Iterator:
-    """The benchmark in parts of about ``block`` items and BLOCK_BYTES of text at most, each broadcast."""
+def held_by_tasks(benchmark: DataFrame, block: int):
+    """The items, broadcast; None if they are more than ``block`` or BLOCK_BYTES of text."""
     items = benchmark.select("item_id", "text")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    n = max(-(-size.n // block), -(-size.bytes // BLOCK_BYTES))
-    for b in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else items
-        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+    if size.n > block or size.bytes > BLOCK_BYTES:
+        return None
+    return benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, first_word, similarity): every document and item that it holds, with the best window."""
-    rows, out = docs.select("doc_id", "text"), None
-    for shared in blocks_of(benchmark, block):
-        found = rows.mapInArrow(matching(shared, least), "doc_id long, item_id long, first_word long, similarity double")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else rows.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("first_word"), F.lit(0.0).alias("similarity")).where("false")
+    schema = "doc_id long, item_id long, first_word long, similarity double"
+    shared = held_by_tasks(benchmark, block)
+    if shared is None:
+        found = decontam_tables.contaminated(docs, benchmark, least)
+        return docs.sparkSession.createDataFrame([], schema) if found is None else found
+    return docs.select("doc_id", "text").mapInArrow(matching(shared, least), schema)
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """The rows of docs (text, ...) that hold no benchmark item; nothing is joined."""
-    for shared in blocks_of(benchmark, block):
-        docs = docs.mapInArrow(filtering(shared, least, docs.columns.index("text")), docs.schema)
-    return docs
+    """The rows of docs (text, ...) that hold no benchmark item; with a benchmark that tasks hold nothing is joined."""
+    shared = held_by_tasks(benchmark, block)
+    if shared is None:
+        return decontam_tables.cleaned(docs, benchmark, least)
+    return docs.mapInArrow(filtering(shared, least, docs.columns.index("text")), docs.schema)
 
 
 def searched(index: Index, texts: list[str | None], least: float) -> Iterator[tuple[int, int, int, float]]:

@@ -301,15 +301,40 @@ def test_hamming_blocks_find_all_within_the_radius(n, groups):
     assert index.within(prints, 5, 4, 6) == [(int(w), int(i)) for w, i in np.argwhere(near & (index.size >= 4) & (index.size <= 6))]
 
 
-def test_benchmark_in_blocks(spark, monkeypatch):
-    """More items, or more text, than a block takes, each in one document."""
+def test_benchmark_as_a_table(spark, monkeypatch):
+    """More items, or more text, than a task holds, each in one document."""
     docs = spark.createDataFrame([(i, f"so {' '.join(f'w{i}x{j}' for j in range(12))} end") for i in range(60)], "doc_id long, text string")
     items = benchmark(spark, [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(60)])
     got = decontam.contaminated(docs, items, block=7).collect()
     assert sorted((r.doc_id, r.item_id, r.first_word, r.similarity) for r in got) == [(i, i, 1, 1.0) for i in range(60)]
     assert decontam.cleaned(docs, items.where("item_id < 50"), block=20).count() == 10
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 1_000)
-    assert len(list(decontam.blocks_of(items, 5_000))) > 2 and decontam.cleaned(docs, items.where("item_id < 50")).count() == 10
+    assert decontam.held_by_tasks(items, 5_000) is None and decontam.cleaned(docs, items.where("item_id < 50")).count() == 10
+
+
+def test_both_forms_of_decontamination_agree(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    some = [r.text for r in items.limit(9).collect()]
+    odd = [(None, some[0]), (7, None), (7, ""), (8, some[1] + " " + some[2] + " " + some[1]), (8, some[1] + " " + some[2] + " " + some[1]), (9, " ".join(some[3].split()[1:])), (10, "one two three"), (11, "a one two three b"), (12, "one two")]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    items = items.select("item_id", "text").unionByName(benchmark(spark, [(900, "One, two three."), (None, some[1]), (901, some[1]), (902, ""), (903, None)]))
+    both = [Counter((r.doc_id, r.item_id, r.first_word, round(r.similarity, 9)) for r in decontam.contaminated(docs, items, block=b).collect()) for b in (decontam.BLOCK, 1)]
+    assert both[0] == both[1] and both[0].total() > 30 and both[0][8, 901, 0, 1.0] == both[0][8, None, 0, 1.0] == 2 and both[0][10, 900, 0, 1.0] == both[0][11, 900, 1, 1.0] == 1
+    extra = docs.withColumn("size", F.lit(1)).withColumn("k", F.lit("x"))
+    kept = [sorted(map(str, decontam.cleaned(extra, items, block=b).collect())) for b in (decontam.BLOCK, 1)]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < docs.count()
+    none = benchmark(spark, [(1, "..."), (2, None)])
+    assert decontam.contaminated(docs, none, block=1).count() == 0 and decontam.cleaned(docs, none, block=1).count() == docs.count()
+    assert decontam.contaminated(docs.limit(0), items, block=1).count() == 0
+
+
+def test_a_benchmark_of_50000_items(spark):
+    """One scan of the documents, and what stands in them is found."""
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda j: F.concat(F.lit("w"), F.pmod(F.xxhash64("item_id", j), F.lit(5_000)))), " ")
+    items = spark.range(50_000).withColumnRenamed("id", "item_id").withColumn("text", text)
+    docs = items.where("item_id % 500 = 3").select((F.col("item_id") + 1).alias("doc_id"), F.concat(F.lit("so it begins "), "text", F.lit(" and ends")).alias("text")).unionByName(spark.range(100).select(F.col("id").alias("doc_id"), F.lit("nothing of the sort stands here at all, only this and that").alias("text")))
+    got = decontam.contaminated(docs, items)
+    assert sorted((r.doc_id, r.item_id, r.first_word, r.similarity) for r in got.collect()) == [(i + 1, i, 3, 1.0) for i in range(3, 50_000, 500)]
 
 
 def test_documents_shorter_than_an_item(spark):
