@@ -14,7 +14,7 @@ first state alone; after an open one, it is those that any of the signs before t
 meet. Maps hold no text, compose associatively, and are composed as a balanced tree for each document, from the first state. A
 text whose composition meets a state that a map lacks is counted whole.
 
-Null texts count as empty: 0 bytes, 0 tokens. Repeated rows and doc_ids stay; other columns are ignored. The text of a
+Null texts count as empty: 0 bytes, 0 tokens. Repeated rows and doc_ids stay (equal rows of a long text are worked out once); other columns are ignored. The text of a
 special token counts as that token, as the tokenizers library does by default.
 """
 
@@ -42,7 +42,9 @@ FRESH = b""
 #: Parts whose counts, transducer states, and token pairs a worker keeps before it starts afresh.
 KEPT_PARTS, KEPT_STATES, KEPT_PAIRS = 3 << 17, 1 << 18, 1 << 18
 NEVER = 1 << 60
-KEYS = ("row", "doc_id", "n_bytes", "key", "no")
+#: What a row of a long text is known by, and its copies together: it says the same of a row if a lost task is run again.
+ROW = ("doc_id", "n_bytes", "key")
+KEYS = (*ROW, "no", "copies")
 
 
 def byte_letters() -> dict[str, int]:
@@ -350,20 +352,22 @@ def counted(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHUNK) -
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
         for batch in batches:
-            n = [t.scanned([{e["entry"]: (e["exit"], e["n"]) for e in m["map"]} for m in ms]) for ms in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "key", "n_tokens"])
+            n = [t.scanned([{e["entry"]: (e["exit"], e["n"]) for e in m["map"]} for m in ms]) for ms in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64())], names=[*ROW, "copies", "n_tokens"])
 
     size = F.octet_length("text").cast("long").alias("n_bytes")
     whole = rows.where(F.length("text") <= chunk).select("doc_id", size, "text").mapInArrow(short, "doc_id long, n_bytes long, n_tokens long")
     n, key = F.length("text"), F.md5(F.col("text").cast("binary")).alias("key")
-    numbered = rows.where(n > chunk).withColumn("row", F.monotonically_increasing_id())
-    long = numbered.select("row", "doc_id", size, key, "text", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("no"))
+    long = rows.where(n > chunk).select("doc_id", size, key, "text", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("no"))
     begin, end = F.col("no") * chunk, F.least((F.col("no") + 1) * chunk, n)
     before, after = F.least(begin, F.lit(WINDOW)), F.least(n - end, F.lit(WINDOW))
-    pieces = long.select(*KEYS, before.alias("before"), after.alias("after"), F.substring(F.col("text"), begin - before + 1, end + after - begin + before).alias("piece"))
-    mapped = pieces.repartition("row", "no").mapInArrow(maps, "row long, doc_id long, n_bytes long, key string, no int, map array<struct<entry: binary, exit: binary, n: long>>")
-    of_doc = mapped.groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc_id", "n_bytes", "key")), F.sort_array(F.collect_list(F.struct("no", "map"))).alias("maps"))
-    found = written(of_doc.select("doc_id", "n_bytes", "key", "maps").mapInArrow(join, "doc_id long, n_bytes long, key string, n_tokens long"), "token-counts")
+    pieces = long.select(*ROW, "no", before.alias("before"), after.alias("after"), F.substring(F.col("text"), begin - before + 1, end + after - begin + before).alias("piece"))
+    once = pieces.groupBy(*ROW, "no").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("before", "after", "piece")))
+    kinds = "doc_id long, n_bytes long, key string, no int, copies long"
+    mapped = once.mapInArrow(maps, f"{kinds}, map array<struct<entry: binary, exit: binary, n: long>>")
+    of_doc = mapped.groupBy(*ROW).agg(F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("no", "map"))).alias("maps"))
+    found = written(of_doc.mapInArrow(join, "doc_id long, n_bytes long, key string, copies long, n_tokens long"), "token-counts")
+    found = found.select(*ROW, "n_tokens", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("col")
     done, open_ = found.where("n_tokens is not null"), found.where("n_tokens is null")
     out = whole.unionByName(done.drop("key"))
     if not open_.isEmpty():
