@@ -689,8 +689,8 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.table(spark, folder).agg(F.sum("rows_in").alias("rows_in"), of("made"), of("faults"))
 
 
-#: Rows that a micro-batch of the feed is given at most.
-ADMITTED = 2_500
+#: Rows of an admission of the feed at most, and admissions that a micro-batch is given at most while more wait.
+ADMITTED, TOGETHER = 2_500, 32
 
 
 @query
@@ -699,7 +699,7 @@ def stream_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     its rows, the backlog left behind it, faults and last event."""
     events, log, landing = table(spark, sf_dir, "events"), new_folder(spark, "feed-log"), new_folder(spark, "feed")
     events.select("event_id", "event_type").repartitionByRange("event_id").sortWithinPartitions("event_id").write.parquet(landing)
-    rows = feed.feed(spark, landing, events.select("event_id", "event_type").schema, log, ADMITTED, order="name")
+    rows = feed.feed(spark, landing, events.select("event_id", "event_type").schema, log, ADMITTED, order="name", admissions=TOGETHER)
     folder = live.drained(rows, new_folder(spark, "stream-log"))
     came = spark.read.schema(rows.schema).parquet(folder).groupBy((F.floor(F.col("offset") / ADMITTED) * ADMITTED).alias("start"))
     held = came.agg(F.count("*").alias("rows"), F.count_if(F.col("event_type") == "error").alias("faults"), F.max("event_id").alias("last_event"))

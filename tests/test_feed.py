@@ -54,6 +54,22 @@ def test_unopened_files_wait(spark, tmp_path):
     assert again.latestOffset() == {"row": 15} and again.partitions({"row": 3}, {"row": 12}) == reader.partitions({"row": 3}, {"row": 12})
 
 
+def test_a_backlog_is_worked_off_in_fewer_micro_batches(spark, tmp_path):
+    """Each admission is logged with its own backlog; a micro-batch takes as many as it may. Started again, it goes on."""
+    put(spark, str(tmp_path / "in"), 0, 15)
+    put(spark, str(tmp_path / "in"), 15, 27)
+    made = lambda: feed.feed(spark, str(tmp_path / "in"), spark.createDataFrame([], KIND).schema, f"file://{tmp_path}/feed-log", 2, admissions=5)
+    run(made(), tmp_path)
+    found = lambda: sorted(map(tuple, feed.admissions(spark, f"file://{tmp_path}/feed-log").select("start", "end", "waiting_rows", "waiting_files").collect()))
+    first = [(a, min(a + 2, 27), (15 if a < 10 else 27) - min(a + 2, 27), int(a < 10)) for a in range(0, 27, 2)]
+    assert found() == first and len(list((tmp_path / "log" / "commits").glob("[0-9]*"))) == 3
+    put(spark, str(tmp_path / "in"), 27, 30)
+    run(made(), tmp_path)
+    assert found() == [*first, (27, 29, 1, 0), (29, 30, 0, 0)]
+    got = sorted(map(tuple, spark.read.schema("id long, name string, offset long").parquet(str(tmp_path / "out")).collect()))
+    assert [r[2] for r in got] == list(range(30)) and sorted(r[0] for r in got) == list(range(30))
+
+
 def test_no_files_and_wrong_options(spark, tmp_path):
     reader = feed.FeedReader({"path": str(tmp_path / "none"), "log": str(tmp_path / "feed-log"), "rows": "4"}, spark.createDataFrame([], KIND).schema)
     assert reader.latestOffset() == {"row": 0} and reader.partitions({"row": 0}, {"row": 0}) == []
