@@ -640,20 +640,20 @@ def processor_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stream_id", "seq", six(F.col("gain_db"), "gain_db"), six(F.col("strength"), "strength"))
 
 
-#: Files that each of two sources comes in; a row may come a file later than its time says.
+#: Arrivals that each of two sources comes in, of as many files as there are cores; a row may come an arrival later than its time says.
 ARRIVALS = 5
 
 
 def arriving(rows: DataFrame, name: str) -> tuple[str, int]:
-    """rows (ts, seq, ...) as files that come one after the other, out of order by up to a file, and at last one that ends the time; their
+    """rows (ts, seq, ...) as arrivals that come one after the other, out of order by up to one, and at last a file that ends the time; their
     folder, and the seconds by which a row can be late."""
-    folder = new_folder(rows.sparkSession, name)
+    folder, width = new_folder(rows.sparkSession, name), rows.sparkSession.sparkContext.defaultParallelism
     low, high = rows.agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))), F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).first()
     step = (high - low) // (ARRIVALS - 1) + 1
     at = ((F.unix_seconds(F.col("ts").cast("timestamp")) - low) / step + F.pmod(F.xxhash64("seq"), F.lit(1000)) / 1000).cast("int")
     dealt = written(rows.withColumn("__file", at), name)
     for k in range(ARRIVALS + 1):
-        dealt.where(F.col("__file") == k).drop("__file").coalesce(1).write.mode("append").parquet(folder)
+        dealt.where(F.col("__file") == k).drop("__file").repartition(width).write.mode("append").parquet(folder)
     end = [F.lit(-1).cast("long").alias("stream_id"), (F.lit(high + 4 * step).cast("timestamp").cast("timestamp_ntz")).alias("ts"), F.lit(-1).cast("long").alias("seq")]
     have = {"stream_id", "ts", "seq"}
     more = [F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c not in have]
@@ -667,7 +667,7 @@ def ordered_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = commands(table(spark, sf_dir, "events"))
     samples, late = arriving(rows.select("stream_id", "ts", "seq"), "samples")
     said, _ = arriving(rows.where("command is not null").select("stream_id", "ts", "seq", "command", "arg"), "commands")
-    read = lambda folder, names: live.rows_from(spark, folder, rows.select(*names).schema, files=1)
+    read = lambda folder, names: live.rows_from(spark, folder, rows.select(*names).schema, files=spark.sparkContext.defaultParallelism)
     out = live.run_to_end(processors.in_order(read(samples, ["stream_id", "ts", "seq"]), read(said, ["stream_id", "ts", "seq", "command", "arg"]), f"{late} seconds"))
     return out.select("stream_id", "seq", "enabled", six(F.col("strength"), "strength"), six(F.col("gain_db"), "gain_db"), "input_device", "output_device")
 

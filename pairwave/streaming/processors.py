@@ -10,6 +10,8 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -130,51 +132,73 @@ class Ticker(StatefulProcessor):
         pass
 
 
+#: Neighbouring streams whose rows are put in order under one key: calls to the state are by key, not by stream or row.
+STREAMS = 32
+
+
 class Ordered(StatefulProcessor):
-    """Samples and commands of two sources in the order of their event time (ts, seq; a command after the sample of its time): rows wait as
-    a list until the watermark has passed them. Each sample comes out with the controls that the commands before it left; after a
+    """Samples and commands of two sources in the order of their event time (ts, seq; a command after the sample of its time): rows wait
+    until the watermark has passed them. Each sample comes out with the controls that the commands before it left; after a
     SHUTDOWN nothing does. What comes later than the watermark is dropped by Spark, samples and commands alike, and counted in
-    its progress (numRowsDroppedByWatermark)."""
+    its progress (numRowsDroppedByWatermark). A key is a group of streams; its rows wait as a list of Arrow tables, one for what a
+    micro-batch brought."""
 
     OUT = "stream_id long, seq long, enabled boolean, strength double, gain_db double, input_device long, output_device long"
+    ROW = pa.schema([("stream_id", pa.int64()), ("us", pa.int64()), ("seq", pa.int64()), ("command", pa.string()), ("arg", pa.float64())])
 
     def __init__(self, config: StreamConfig | None = None):
         self.config = config or StreamConfig()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, seq long, command string, arg double")
-        self.controls = handle.getValueState("controls", "enabled boolean, strength double, gain_db double, input_device long, output_device long, stopped boolean")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.controls = handle.getListState("controls", "stream_id long, enabled boolean, strength double, gain_db double, input_device long, output_device long, stopped boolean")
+
+    def packed(self, rows: pa.Table) -> tuple[bytes]:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.ROW) as out:
+            out.write_table(rows.combine_chunks())
+        return (sink.getvalue().to_pybytes(),)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first = None
-        for b in rows:
-            came = [(int(us), int(seq), None if pd.isna(command) else command, None if pd.isna(arg) else float(arg)) for us, seq, command, arg in zip(b["us"], b["seq"], b["command"], b["arg"], strict=True)]
-            if came:
-                self.waiting.appendList(came)
-                first = min([x[0] for x in came] + ([first] if first is not None else []))
-        if first is not None:
-            self.handle.registerTimer(first // 1000 + 1)
+        came = [pa.Table.from_pandas(b[self.ROW.names], self.ROW, preserve_index=False) for b in rows if len(b)]
+        if came:
+            came = pa.concat_tables(came)
+            self.waiting.appendValue(self.packed(came))
+            self.handle.registerTimer(pc.min(came["us"]).as_py() // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        due, rest = sorted((r for r in rows if r[0] < passed), key=lambda r: (r[0], r[1], r[2] is not None)), [r for r in rows if r[0] >= passed]
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        if rest:
-            self.handle.registerTimer(min(r[0] for r in rest) // 1000 + 1)
-        c = self.config
-        enabled, strength, gain, source, target, stopped = self.controls.get() if self.controls.exists() else (c.enabled, c.strength, c.gain_db, -1, -1, False)
-        out = []
-        for _, seq, command, arg in due:
+        held = [pa.ipc.open_stream(bytes(x)).read_all() for (x,) in self.waiting.get()] if self.waiting.exists() else []
+        rows = pa.concat_tables(held) if held else self.ROW.empty_table()
+        early = pc.less(rows["us"], passed)
+        due, rest = rows.filter(early), rows.filter(pc.invert(early))
+        if not len(due):  # an earlier timer of this micro-batch has seen to it, and to the next
+            return
+        if len(rest):
+            self.waiting.put([self.packed(rest)])
+            self.handle.registerTimer(pc.min(rest["us"]).as_py() // 1000 + 1)
+        else:
+            self.waiting.clear()
+        due = due.append_column("said", pc.is_valid(due["command"])).sort_by([(n, "ascending") for n in ("stream_id", "us", "seq", "said")])
+        kept = {x[0]: tuple(x[1:]) for x in self.controls.get()} if self.controls.exists() else {}
+        c, out, at = self.config, [], ()
+        first = (c.enabled, c.strength, c.gain_db, -1, -1, False)
+        for stream, seq, command, arg in zip(*(due[n].to_pylist() for n in ("stream_id", "seq", "command", "arg")), strict=True):
+            if (stream,) != at:
+                if at:
+                    kept[at[0]] = (enabled, strength, gain, source, target, stopped)
+                at = (stream,)
+                enabled, strength, gain, source, target, stopped = kept.get(stream, first)
             if stopped:
-                break
+                continue
+            if command is None:
+                out.append((stream, seq, enabled, strength, gain, source, target))
+                continue
             number = arg is not None and not math.isnan(arg)
             device = int(arg) if number and 0 <= arg < 1 << 31 else -1
-            if command is None:
-                out.append((key[0], seq, enabled, strength, gain, source, target))
-            elif command == "SET_ENABLED":
+            if command == "SET_ENABLED":
                 enabled = number and arg != 0
             elif command == "SET_STRENGTH" and number:
                 strength = min(1.0, max(0.0, arg))
@@ -185,8 +209,10 @@ class Ordered(StatefulProcessor):
             elif command == "SET_OUTPUT_DEVICE":
                 target = device
             stopped = command == "SHUTDOWN"
-        self.controls.update((bool(enabled), float(strength), float(gain), int(source), int(target), bool(stopped)))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in self.OUT.split(", ")])
+        kept[at[0]] = (enabled, strength, gain, source, target, stopped)
+        self.controls.put([(k, bool(v[0]), float(v[1]), float(v[2]), int(v[3]), int(v[4]), bool(v[5])) for k, v in kept.items()])
+        made = pd.DataFrame(out, columns=[f.split()[0] for f in self.OUT.split(", ")])
+        yield made.astype({"stream_id": "Int64"}) if None in kept else made
 
     def close(self) -> None:
         pass
@@ -198,10 +224,11 @@ def in_order(samples: DataFrame, commands: DataFrame, late: str) -> DataFrame:
     none = {"command": F.lit(None).cast("string"), "arg": F.lit(None).cast("double")}
     both = samples.select("stream_id", "ts", "seq").withColumns(none).unionByName(commands.select("stream_id", "ts", "seq", "command", "arg"))
     timed = both.withColumn("at", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("at")).withWatermark("at", late)
-    return applied(timed.select("stream_id", "at", "us", "seq", "command", "arg"), Ordered(), "EventTime")
+    grouped = timed.withColumn("streams", F.floor(F.col("stream_id") / STREAMS))
+    return applied(grouped.select("streams", "stream_id", "at", "us", "seq", "command", "arg"), Ordered(), "EventTime", "streams")
 
 
-def applied(rows: DataFrame, processor: StatefulProcessor, time_mode: str = "None") -> DataFrame:
-    """What a processor makes of each stream of rows (stream_id, ...)."""
+def applied(rows: DataFrame, processor: StatefulProcessor, time_mode: str = "None", key: str = "stream_id") -> DataFrame:
+    """What a processor makes of each stream of rows (stream_id, ...), or of each key."""
     configure(rows.sparkSession)
-    return rows.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.OUT, outputMode="append", timeMode=time_mode)
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.OUT, outputMode="append", timeMode=time_mode)

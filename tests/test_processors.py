@@ -1,5 +1,6 @@
 """Stateful processors: a controlled clock, a restart from a checkpoint, rows out of order; and the listener's totals."""
 
+import random
 import time
 from types import SimpleNamespace
 
@@ -98,3 +99,54 @@ def test_totals_of_a_listener(spark, tmp_path):
     spark.streams.removeListener(heard)
     got = [(r.rows_in, r.backlog_files, r.observed) for r in progress.table(spark, str(tmp_path / "progress")).orderBy("batch").collect() if r.rows_in]
     assert sorted(g[0] for g in got) == [50, 100] and sum(g[2]["made"] for g in got) == 150 and sum(g[2]["tens"] for g in got) == 15
+
+
+class Listed(Kept):
+    """A list state that counts what it is given."""
+
+    given = 0
+
+    def appendValue(self, v):  # noqa: N802
+        self.value, self.given = [*(self.value or []), v], self.given + 1
+
+    def put(self, v):
+        self.value, self.given = list(v), self.given + len(v)
+
+
+def test_streams_in_order_under_one_key():
+    """Rows of many streams, null among them, that come out of order: each sample with its own stream's controls; a few values of state for thousands of rows."""
+    states, timers, now = {}, [], SimpleNamespace(getCurrentWatermarkInMs=lambda: now.ms, ms=0)
+    p = processors.Ordered()
+    p.init(SimpleNamespace(getListState=lambda name, kind: states.setdefault(name, Listed()), getValueState=lambda *a: Kept(), registerTimer=timers.append))
+    rng, streams, rows = random.Random(5), [*range(31), None], []
+    for i in range(6000):
+        command = rng.choice([None, None, None, "SET_GAIN", "SET_STRENGTH", "SET_ENABLED", "SET_INPUT_DEVICE"] + ["SHUTDOWN"] * (i % 50 == 0))
+        rows.append((rng.choice(streams), 1000 * (i + 1), i, command, rng.choice([0.5, 3.0, float("nan"), None]) if command else None))
+    got = []
+    for part in range(3):
+        came = [r for r in rows if (r[1] // 1000 - 1 + hash(r[2] * 7919) % 2000) // 2000 == part or part == 2 and (r[1] // 1000 - 1 + hash(r[2] * 7919) % 2000) // 2000 > 2]
+        rng.shuffle(came)
+        frame = pd.DataFrame(came, columns=["stream_id", "us", "seq", "command", "arg"]).astype({"stream_id": "Int64"})
+        assert not list(p.handleInputRows((0,), iter([frame[:700], frame[700:]]), now))
+        now.ms = [0, 2000, 7000][part]
+        while [t for t in timers if t <= now.ms]:
+            timers.remove(min(timers))
+            got += [r for f in p.handleExpiredTimer((0,), now, None) for r in f.itertuples(index=False, name=None)]
+    want = []
+    for s in streams:
+        state, stopped = {"e": True, "s": 1.0, "g": 0.0, "i": -1}, False
+        for _, _, seq, command, arg in (r for r in rows if r[0] == s):
+            number = arg is not None and arg == arg
+            if command is None and not stopped:
+                want.append((s, seq, state["e"], state["s"], state["g"], state["i"], -1))
+            elif command == "SHUTDOWN":
+                stopped = True
+            elif command == "SET_ENABLED":
+                state["e"] = number and arg != 0
+            elif command == "SET_INPUT_DEVICE":
+                state["i"] = int(arg) if number else -1
+            elif command and number:
+                state["s" if command == "SET_STRENGTH" else "g"] = min(1.0, arg) if command == "SET_STRENGTH" else arg
+    clean = sorted((-1 if pd.isna(r[0]) else r[0], *r[1:]) for r in got)
+    assert clean == sorted((-1 if r[0] is None else r[0], *r[1:]) for r in want) and len(want) > 1000
+    assert states["waiting"].given < 10 and states["controls"].given < 100 and not states["waiting"].exists()
