@@ -29,8 +29,7 @@ SMOOTHING, SEEN = 1.0, 8.0
 SPARED, STEP = 0.01, 1e-4
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+SYMBOLS, NO_BLANK = "[#*$%&|<>]", r"[^\x20\x09-\x0D]"
 
 
 def hashes(words: Column) -> Column:
@@ -71,18 +70,20 @@ def covered(w: Column) -> Column:
 def measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, columns in keep, the base figures, and h (word hashes)."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    a = docs.select(
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NO_BLANK))
+    # regular expressions and the words themselves: translate() makes a string of each character
+    w = docs.select(
         "doc_id",
         *keep,
-        hashes(words_of(F.col("text"))).alias("h"),
-        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        words_of(F.col("text")).alias("__words"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
-    # a cheap test first: most texts repeat no window
-    repeats = let(windows(F.col("h")), lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(F.lit(0).cast("long")))
-    b = a.select("doc_id", *keep, "h", F.size("h").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"))
+    a = w.select("doc_id", *keep, hashes(F.col("__words")).alias("h"), F.length(F.array_join("__words", "")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines")
+    # a cheap test first, on a column, where it is compiled: most texts repeat no window
+    v = a.select("*", windows(F.col("h")).alias("__w"))
+    repeats = F.when(F.size(F.array_distinct("__w")) < F.size("__w"), covered(F.col("__w"))).otherwise(F.lit(0).cast("long"))
+    b = v.select("doc_id", *keep, "h", F.size("h").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"))
     return b.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
 
 
