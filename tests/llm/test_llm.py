@@ -139,6 +139,26 @@ def test_lattice_fold(spark):
     assert got == {w: m.encode(w[1:]) if w != "▁" else got["▁"] for w in words}
 
 
+def test_every_unit_goes_through_the_lattice(spark, tmp_path, monkeypatch):
+    """Rare and long units, over several chunks and files, against the library; without the join's longer edges none of them
+    gets a longer piece. A table that isn't a file gives the same."""
+    path, r = public_tokenizers.path("piece_bpe_32k.model"), random.Random(3)
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    word = lambda n: "".join(r.choice("etaoinshrdlucé日🎉.,'”\r0") for _ in range(n))
+    texts = [" ".join(word(r.randrange(1, 12)) for _ in range(30)) for _ in range(20)] + [word(3000), "e" * 1000, "a\u2581b  \u2581", "\n\n x\n", " ", "", None] + ["the same"] * 3
+    table = spark.createDataFrame([(i // 2, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    table.repartition(3).write.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(pieces, "CHUNK_ROWS", 4)
+    want = Counter((i // 2, tuple(m.encode(x or "")), "\u2581" not in (x or "")) for i, x in enumerate(texts))
+    for docs in (spark.read.parquet(f"{tmp_path}/docs"), table):
+        assert Counter((r.doc_id, tuple(r.ids), r.round_trip) for r in pieces.encoded(docs, path).collect()) == want
+    joined = pieces.edges_of
+    monkeypatch.setattr(pieces, "edges_of", lambda *a: joined(*a).where("e - s = 1"))
+    got = pieces.encoded(table.where("text is not null"), path).collect()
+    assert all(len(m.id_to_piece(i)) == 1 or m.is_byte(i) for r in got for i in r.ids)
+    assert any(len(m.id_to_piece(i)) > 1 and not m.is_byte(i) for _, ids, _ in want for i in ids)
+
+
 def test_viterbi_fold(spark):
     units = spark.createDataFrame([("abc",), ("xyz",)], "unit string")
     rows = spark.createDataFrame([(1, "ab", -1.0), (2, "c", -5.0), (3, "a", -1.0), (4, "bc", -1.5), (5, "x", -1.0)], "id int, piece string, score double")
