@@ -280,19 +280,18 @@ def units_by_chunk(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, set[str]] = defaultdict(set)
 
-        def sent() -> Iterator[pa.RecordBatch]:
-            for chunk, units in seen.items():
+        def sent(but: int | None = None) -> Iterator[pa.RecordBatch]:
+            for chunk in [x for x in seen if x != but]:
                 lists = defaultdict(list)
-                for u in units:
+                for u in seen.pop(chunk):
                     lists[zlib.crc32(u.encode()) % buckets].append("" if u == "\n" else u)
                 yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(["\n".join([str(chunk), *sorted(x)]) for x in lists.values()], pa.string())], names=["bucket", "units"])
-            seen.clear()
 
         for batch in batches:
             for text, chunk in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 seen[chunk].update(units_of(text.as_py(), path))
-            if sum(map(len, seen.values())) > FLUSH:
-                yield from sent()
+            if batch.num_rows:  # a file's rows come in order, so the chunks before the last one are done
+                yield from sent(chunk if len(seen[chunk]) < FLUSH else None)
         yield from sent()
 
     return rows.select("__text", "chunk").mapInArrow(run, "bucket int, units string")

@@ -689,6 +689,17 @@ def test_pipeline(spark, tmp_path):
         assert "abcdefgh1234" not in m.decode(list(r.ids))
 
 
+def test_pipeline_s_pieces_come_from_the_join_alone(spark, monkeypatch):
+    """The last stage gives the library's ids; where the join finds no edges, no unit gets a piece, only bytes."""
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    table = spark.createDataFrame([(i, f"rare{i}word and the other", "en", "x", 1) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long")
+    ids = lambda: {r.doc_id: list(r.ids) for r in corpus_pipeline.piece_ids(spark, table, "").collect()}
+    assert ids() == {i: m.encode(f"rare{i}word and the other") for i in range(5)}
+    joined = pieces.edges_of
+    monkeypatch.setattr(pieces, "edges_of", lambda *a: joined(*a).where("id < 0"))
+    assert all(m.is_byte(i) for x in ids().values() for i in x)
+
+
 def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
     for name, rows in (("odd", ROWS), ("empty", [])):
         spark.createDataFrame(rows, SCHEMA).withColumn("extra", F.lit(1)).write.parquet(f"{tmp_path}/{name}/documents.parquet")
