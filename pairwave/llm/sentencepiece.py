@@ -80,13 +80,8 @@ def unit_pattern(path: str) -> str:
     return f" *+{run}" + (f"(?:(?=[{inside(after)}])(?:{joint}){run})*+" if joint else "") + "| ++|\n"
 
 
-@lru_cache(2)
-def unit_regex(path: str) -> re.Pattern:
-    return re.compile(unit_pattern(path))
-
-
-def units_of(text: str, path: str) -> list[str]:
-    return unit_regex(path).findall(" " + text.replace(BLANK, " ")) if text else []
+def units_of(text: str, pattern: str) -> list[str]:
+    return re.findall(pattern, " " + text.replace(BLANK, " ")) if text else []
 
 
 def edges_of(units: DataFrame, pieces: DataFrame, longest: int, dealt: tuple[str, ...] = ()) -> DataFrame:
@@ -216,7 +211,9 @@ def folded(listed: DataFrame, path: str) -> DataFrame:
     bucket's distinct units go through the lattice once, whatever the number of chunks that they are in."""
     pieces, longest = piece_table(listed.sparkSession, path)
     byte_id = byte_ids(path)
-    dealt = listed.repartition(cores(listed.sparkSession), "bucket")  # read by both sides, in the same columns, so that Spark deals once
+    n = cores(listed.sparkSession)
+    # a task sorts the edges of about four buckets; read by both sides, in the same columns, so that Spark deals once
+    dealt = listed.repartition(max(n, min(4 * n, 1 << 12)), "bucket")
     each = dealt.select("bucket", F.explode(F.slice(F.split("units", "\n", -1), 2, F.lit(1 << 30))).alias("unit"))
     distinct = each.select("bucket", F.when(F.col("unit") == "", "\n").otherwise(F.col("unit")).alias("unit")).distinct()
 
@@ -242,7 +239,7 @@ def folded(listed: DataFrame, path: str) -> DataFrame:
     return edges.groupBy("of").cogroup(dealt.groupBy("bucket")).applyInArrow(run, "chunk long, n long, size long, blob binary")
 
 
-def units_with_ids(blob: bytes, n: int, size: int) -> Iterator[tuple[str, bytes]]:
+def units_with_ids(blob: bytes | pa.Buffer, n: int, size: int) -> Iterator[tuple[str, bytes]]:
     """n units, each with its ids as little-endian 32-bit numbers, from a blob of so many bytes: sizes, ids, units."""
     code = pa.decompress(blob, size, "zstd", asbytes=True)
     cuts = (4 * (n + np.cumsum([0, *np.frombuffer(code, "<i4", n)]))).tolist()
@@ -256,42 +253,46 @@ def packed(table: pa.Table | pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def unpacked(blob: bytes) -> pa.Table:
+def unpacked(blob: bytes | pa.Buffer) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def in_chunks(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+def in_chunks(docs: DataFrame, keep: tuple[str, ...], part: int = 1) -> DataFrame:
     """(doc_id, columns in keep, __text, chunk): a chunk is a range of rows of one file, the same in each reading; rows that aren't
-    a file's are written first."""
+    a file's are written first. part: divides the limits of a chunk."""
     try:
         docs.select("_metadata.row_index")
     except AnalysisException:
         docs = written(docs.select("doc_id", "text", *keep), "texts")
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    rows = max(1, min(CHUNK_ROWS, -(-n // docs.sparkSession.sparkContext.defaultParallelism), CHUNK_BYTES * n // max(size, 1)))
+    rows = max(1, min(CHUNK_ROWS // part, -(-n // docs.sparkSession.sparkContext.defaultParallelism), CHUNK_BYTES // part * n // max(size, 1)))
     chunk = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows))
     return docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("__text"), chunk.alias("chunk"))
 
 
 def units_by_chunk(rows: DataFrame, path: str) -> DataFrame:
     """(bucket, units): the chunk and its distinct units that fall into a bucket, sorted, between line feeds; a line feed itself is empty there."""
-    buckets = min(16 * cores(rows.sparkSession), 1 << 14)
+    buckets, pattern = min(16 * cores(rows.sparkSession), 1 << 14), unit_pattern(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, set[str]] = defaultdict(set)
 
-        def sent(but: int | None = None) -> Iterator[pa.RecordBatch]:
-            for chunk in [x for x in seen if x != but]:
+        def sent() -> Iterator[pa.RecordBatch]:
+            for chunk in list(seen):
                 lists = defaultdict(list)
                 for u in seen.pop(chunk):
                     lists[zlib.crc32(u.encode()) % buckets].append("" if u == "\n" else u)
                 yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(["\n".join([str(chunk), *sorted(x)]) for x in lists.values()], pa.string())], names=["bucket", "units"])
 
+        last = None
         for batch in batches:
             for text, chunk in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                seen[chunk].update(units_of(text.as_py(), path))
-            if batch.num_rows:  # a file's rows come in order, so the chunks before the last one are done
-                yield from sent(chunk if len(seen[chunk]) < FLUSH else None)
+                if chunk != last:  # a file's rows come in order, so the chunks before this one are done
+                    yield from sent()
+                    last = chunk
+                seen[chunk].update(units_of(text.as_py(), pattern))
+            if len(seen.get(last, ())) >= FLUSH:
+                yield from sent()
         yield from sent()
 
     return rows.select("__text", "chunk").mapInArrow(run, "bucket int, units string")
@@ -306,22 +307,22 @@ def in_blocks(rows: DataFrame) -> DataFrame:
                 chunk = batch.column("chunk").to_numpy()
                 block = np.cumsum(pc.binary_length(batch.column("__text")).to_numpy(), dtype=np.int64) // BLOCK_BYTES
                 cuts = [0, *(np.flatnonzero((np.diff(chunk) != 0) | (np.diff(block) != 0)) + 1).tolist(), batch.num_rows]
-                blobs = [packed(batch.slice(a, b - a).drop_columns(["chunk"])) for a, b in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(chunk[cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "blob"])
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    blob = packed(batch.slice(a, b - a).drop_columns(["chunk"]))
+                    yield pa.RecordBatch.from_arrays([pa.array(chunk[a : a + 1], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "blob"])
 
     return rows.mapInArrow(run, "chunk long, blob binary")
 
 
-@lru_cache(2)
 def piece_bytes(path: str) -> pa.Array:
     """What each id decodes to."""
     of = {i: p.replace(BLANK, " ").encode() for i, p, _ in piece_rows(path)} | {i: bytes([b]) for b, i in enumerate(byte_ids(path))}
     return pa.array([of.get(i, b"") for i in range(processor(path).vocab_size())], pa.large_binary())
 
 
-def decoded(ids: np.ndarray, sizes: list[int], path: str) -> list[bytes]:
-    """The texts, in UTF-8, of lists of ids that stand one after the other."""
-    found = piece_bytes(path).take(pa.array(ids, pa.int32()))
+def decoded(ids: np.ndarray, sizes: list[int], pieces: pa.Array) -> list[bytes]:
+    """The texts, in UTF-8, of lists of ids that stand one after the other. pieces: what each id decodes to."""
+    found = pieces.take(pa.array(ids, pa.int32()))
     _, ends, data = found.buffers()
     text = data.to_pybytes() if data else b""
     cuts = np.frombuffer(ends, "<i8")[np.cumsum([0, *sizes])].tolist() if len(ids) else [0] * (len(sizes) + 1)
@@ -332,22 +333,25 @@ def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = (), with_ids: bo
     """doc_id, columns in keep, n_pieces, ids_crc32 (of the ids as little-endian 32-bit numbers), round_trip (whether decoding
     the ids gives the text), and ids if asked for, for every row of docs (doc_id, text). docs is read twice and must give the
     same rows each time."""
-    rows = in_chunks(docs, keep)
+    rows = in_chunks(docs, keep, 1 + with_ids)  # a chunk's ids are as much again to hold
     units = folded(units_by_chunk(rows, path), path)
     names = ["doc_id", *keep, "n_pieces", "ids_crc32", "round_trip", *["ids"] * with_ids]
     schema = rows.drop("__text", "chunk").withColumns({"n_pieces": F.lit(0).cast("long"), "ids_crc32": F.lit(0).cast("long"), "round_trip": F.lit(True)} | ({"ids": F.array().cast("array<int>")} if with_ids else {})).schema
 
+    # the tasks get the pattern and the pieces, not the model: a worker would keep it in memory
+    pattern, pieces = unit_pattern(path), piece_bytes(path)
+
     def run(blocks: pa.Table, vocabulary: pa.Table) -> pa.Table:
         known: dict[str, bytes] = {}
-        for r in zip(*(vocabulary.column(x).to_pylist() for x in ("blob", "n", "size")), strict=True):
-            known.update(units_with_ids(*r))
+        for blob, *counts in zip(vocabulary.column("blob"), *(vocabulary.column(x).to_pylist() for x in ("n", "size")), strict=True):
+            known.update(units_with_ids(blob.as_buffer(), *counts))
         done = []
-        for blob in blocks.column("blob").to_pylist():
-            part = unpacked(blob)
+        for blob in blocks.column("blob"):
+            part = unpacked(blob.as_buffer())
             texts = part.column("__text").to_pylist()
-            codes = [b"".join([known[u] for u in units_of(t, path)]) for t in texts]
+            codes = [b"".join([known[u] for u in units_of(t, pattern)]) for t in texts]
             ids, sizes = np.frombuffer(b"".join(codes), "<i4"), [len(x) // 4 for x in codes]
-            same = [a == t.encode() for a, t in zip(decoded(ids, sizes, path), texts, strict=True)]
+            same = [a == t.encode() for a, t in zip(decoded(ids, sizes, pieces), texts, strict=True)]
             out = [*part.drop_columns(["__text"]).columns, pa.array(sizes, pa.int64()), pa.array([zlib.crc32(x) for x in codes], pa.int64()), pa.array(same, pa.bool_())]
             if with_ids:
                 out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(ids, pa.int32())))

@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -132,6 +133,33 @@ def test_pieces_are_the_library_s(spark, docs):
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want and all(r.round_trip for r in got)
 
 
+def test_pieces_take_little_memory(spark, tmp_path, monkeypatch):
+    """Python workers don't keep the model, a task sorts the edges of few buckets, and chunks that give ids are half as large."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    spark.createDataFrame([(i, f"a text {i}") for i in range(64)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(pieces, "CHUNK_ROWS", 8)
+    got = pieces.encoded(docs, path)
+    assert got.count() == 64
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert {int(n) for n in re.findall(r"RepartitionByExpression \[bucket#\d+\], (\d+)", plan)} == {4 * pieces.cores(spark)}
+
+    def kept(batches):
+        from pairwave.llm import sentencepiece as there
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([there.processor.cache_info().currsize])], names=["models"])
+
+    loaded = spark.range(32, numPartitions=32).mapInArrow(kept, "models long").collect()
+    assert not any(r.models for r in loaded)
+    sizes = {with_ids: set() for with_ids in (True, False)}
+    blocks = pieces.in_blocks
+    for with_ids in sizes:
+        monkeypatch.setattr(pieces, "in_blocks", lambda rows, k=with_ids: (sizes[k].update(r["count"] for r in rows.groupBy("chunk").count().collect()), blocks(rows))[1])
+        pieces.encoded(docs, path, with_ids=with_ids)
+    assert sizes == {True: {4}, False: {8}}
+
+
 def test_lattice_fold(spark):
     path, words = public_tokenizers.path("piece_bpe_32k.model"), ["▁hello", "▁internationalisation", "▁日本", "▁zzzq🎉", "▁"]
     m = sentencepiece.SentencePieceProcessor(model_file=path)
