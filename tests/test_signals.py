@@ -3,6 +3,7 @@
 import json
 import math
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -171,6 +172,37 @@ def test_impulse_response_of_many_images():
     assert taken < time.process_time() - begun
 
 
+def test_impulse_response_takes_no_more_than_it_needs(monkeypatch):
+    """Order 50: fewer sums than 12 of every image, memory anew for fewer than 2 arrays of them, and right all along."""
+    dim, source, mic, rate, order, summed = (8.1, 6.3, 3.2), (1.0, 2.0, 1.5), (4.2, 2.9, 1.1), 48_000, 50, []
+    got, bincount = kernels.impulse_response(dim, source, mic, 0.2, order, rate), np.bincount
+    d, n = kernels.images(dim, source, mic, order)
+    gain, delay = 0.8 ** (n / 2) / (4 * np.pi * d), d / 343 * rate
+    for k in np.linspace(delay.min(), len(got) - 1, 40).astype(int):
+        t = (k - delay)[np.abs(k - np.floor(delay)) <= 40]
+        assert got[k] == pytest.approx((gain[np.abs(k - np.floor(delay)) <= 40] * np.sinc(t) * (0.5 + 0.5 * np.cos(np.pi * t / 41))).sum(), abs=1e-12)
+    monkeypatch.setattr(np, "bincount", lambda x, *more: summed.append(len(x)) or bincount(x, *more))
+    tracemalloc.start()
+    again = kernels.impulse_response(dim, source, mic, 0.2, order, rate)
+    taken = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == again).all() and len(d) < sum(summed) < 12 * len(d) and taken < 2 * d.nbytes
+
+
+@pytest.mark.parametrize("order, absorption", [(0, 0.3), (1, 1.0), (2, 0.0), (5, 1.5)])
+def test_impulse_response_of_odd_rooms(order, absorption):
+    """Few images, walls that give nothing or all back, a microphone in the source, images at the edges of spans and spans without images."""
+    for dim, source in (((4.0, 5.0, 3.0), (1.0, 2.0, 1.0)), ((343 * 4014 / 96_000, 5.0, 3.0), (3.0, 2.0, 1.0)), ((400.0, 5.0, 3.0), (399.0, 1.0, 2.0))):
+        mic = (1.0, 2.0, 1.0)
+        got, (d, n) = kernels.impulse_response(dim, source, mic, absorption, order, 48_000), kernels.images(dim, source, mic, order)
+        want = np.zeros(int(d.max() / 343 * 48_000) + 123)
+        for a, k in zip(d, n, strict=True):
+            at = int(a / 343 * 48_000)
+            t = np.arange(-40, 41) - (a / 343 * 48_000 - at)
+            want[at : at + 81] += max(0.0, 1 - absorption) ** (k / 2) / (4 * math.pi * max(a, 1e-3)) * np.sinc(t) * (0.5 + 0.5 * np.cos(np.pi * t / 41))
+        assert np.allclose(got, want[40 : 40 + len(got)], rtol=0, atol=1e-11) and len(got) == int(d.max() / 343 * 48_000) + 42
+
+
 def test_room_responses_are_whole(spark, tmp_path):
     from pairwave.operators import room
     from pairwave.plans import queries
