@@ -31,6 +31,8 @@ UP, DOWN, TAPS = 3, 2, (0.1, 0.4, 0.8, 1.0, 0.8, 0.4, 0.1)
 #: Samples of a chunk of a long signal: no divisor of a vector's length.
 CHUNK = 10
 RESPONSES, GAIN_DB, STRENGTH, CHANNELS = 5, 6.0, 0.25, 5
+#: Rooms of a task: some seconds' work, so that no core waits long for the last tasks.
+ROOMS = 200
 # Endings of the file names made of documents, by doc_id % 7; devices; sizes of builds.
 ENDINGS = (".wav", ".FLAC", ".mp3", ".txt", ".ogg", ".aif", ".bak")
 DEVICES = [(0, "Mic", 1, 0, 44100.0), (1, "Speakers", 0, 2, 48000.0), (2, "Interface", 4, 4, 48000.0), (3, "Null", 0, 0, 8000.0)]
@@ -334,8 +336,9 @@ def source_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ism_rir(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Room responses, near and far, of as many rooms as there are vectors: lengths and where the direct sound stands; null for
     rooms whose reverberation time no wall gives."""
-    placed = room.sources(drawn_rooms(spark, sf_dir), CONFIG)
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rooms = drawn_rooms(spark, sf_dir)
+    placed = room.sources(rooms, CONFIG)
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), rooms.count() // ROOMS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -217,6 +217,17 @@ def test_room_responses_are_whole(spark, tmp_path):
             assert got[r.global_idx][n] == (len(kernels.impulse_response(dim, of, mic, r.absorption, r.max_order, 48_000)) if r.feasible else None)
 
 
+def test_room_responses_are_dealt_to_small_tasks(spark, tmp_path):
+    """More rooms make more tasks, not longer ones; a response of other taps between two doesn't change them."""
+    from pairwave.plans import queries
+
+    spark.range(3000).selectExpr("id AS vec_id", "array(0.5F) AS embedding", "int(id % 10) AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert queries.ism_rir(spark, str(tmp_path)).rdd.getNumPartitions() == 15
+    at = ((4.0, 5.0, 3.0), (1.0, 2.0, 1.0), (3.0, 1.0, 2.0), 0.3, 9, 48_000)
+    first, _, again = (kernels.impulse_response(*at, half=half) for half in (40, 10, 40))
+    assert (first == again).all()
+
+
 def test_nothing_gives_nothing(spark):
     nothing = F.array().cast("array<double>")
     assert one(spark, signal.frames_of(nothing, 2)) == one(spark, signal.resampled(nothing, 3, 2, [1.0])) == one(spark, signal.fanned_out(signal.frames_of(nothing, 2), 3)) == []
